@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "packing")
+MODULES = ("mixing", "packing", "secrets", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
