@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -10,8 +11,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew (ids don't change).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _END = ".,;:!?*#%&$|)\""
+#: Words of these letters alone are one piece for any letter-run splitter, and already in composed form.
+_PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
 
 
 def default_path() -> str:
@@ -33,6 +43,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model, self.letters = self.tok.model, _byte_letters()
         self._reset()
 
     def _reset(self):
@@ -40,10 +51,17 @@ class WordEncoder:
         self.start, self.size, self.flat = array("q"), array("q"), array("I")
 
     def _cores(self, cores: list[str]):
-        new = [c for c in dict.fromkeys(cores) if c not in self.core]
-        if new:
-            for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                self.core[c] = e.ids
+        odd, known = [], self.core
+        for c in cores:
+            if c not in known:
+                if _PLAIN.fullmatch(c):  # straight to the model: normalizing and splitting change nothing
+                    plain = c if c.isascii() else "".join(self.letters[b] for b in c.lower().encode())
+                    known[c] = [t.id for t in self.model.tokenize(plain)]
+                else:
+                    odd.append(c)
+        if odd:
+            for c, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
+                known[c] = e.ids
 
     def _indices(self, words: list[str]) -> np.ndarray:
         if len(self.word) + len(self.core) > CACHE_WORDS:
