@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 _local: dict[int, str] = {}
+#: Tables written while a collector is open, so that a caller who knows they are done with can delete them.
+_collectors: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,9 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._terraloom_path = path
+    for tables in _collectors:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables written inside the block."""
+    tables: list[DataFrame] = []
+    _collectors.append(tables)
+    try:
+        yield tables
+    finally:
+        _collectors[:] = [x for x in _collectors if x is not tables]
+
+
 def discard(df: DataFrame) -> None:
     """Delete a written table that nothing will read again."""
     path = getattr(df, "_terraloom_path", None)

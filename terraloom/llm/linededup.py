@@ -120,19 +120,19 @@ def _left(text: Column, deleted: Column) -> Column:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of repeated line runs deleted, and `deleted`: the line numbers, null where none.
+    """docs with later copies of repeated line runs deleted, and `deleted` (or the next free name): the line numbers, null where none.
 
     The first copy by doc_id (null last, then row) stays. Null texts stay null; a text whose lines all go is
     empty; repeated rows keep their lines once; an empty table stays empty; other columns stay.
     """
     rows, key = common.keyed(docs)
-    taken = {c: common.fresh(rows, c) for c in ("order_", "del_key", "deleted")}
+    taken = {c: common.fresh(docs, c) for c in ("order_", "del_key", "deleted")}
     gone = later_copies(rows.withColumn(taken["order_"], F.col("doc_id")), key, taken["order_"], min_words=min_words)
     gone = gone.select(F.col("k").alias(taken["del_key"]), F.col("deleted").alias(taken["deleted"]))
     joined = rows.join(gone, F.col(key) == F.col(taken["del_key"]), "left")
     deleted = F.col(taken["deleted"])
     text = F.when(deleted.isNull(), F.col("text")).otherwise(_left(F.col("text"), deleted))
-    return joined.withColumn("text", text).drop(key, taken["del_key"]).withColumnRenamed(taken["deleted"], "deleted" if "deleted" not in docs.columns else taken["deleted"])
+    return joined.withColumn("text", text).drop(key, taken["del_key"])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
