@@ -54,6 +54,7 @@ def _refined(ranks: DataFrame, width: int) -> DataFrame:
     counts = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
     lesser = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     finer = counts.select(F.col("rank").alias("r"), F.col("next").alias("x"), (F.col("rank") + lesser).alias("finer"))
+    finer = common.written(finer, f"finer{width}")
     joined = pairs.join(finer, (pairs.rank == finer.r) & (pairs.next == finer.x))
     return joined.withColumn("rank", F.col("finer")).drop("next", "r", "x", "finer")
 
@@ -80,6 +81,7 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     table = common.written(lines(rows, key, text, order), "lines")
     # A line that occurs once is in no repeated run, and a segment without enough words holds none.
     often = table.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("often"))
+    often = common.written(often, "often")  # joined as a table, so that a very common line's rows can be split
     repeated = table.join(often, table.h == often.often).drop("often")
     by_row = Window.partitionBy("k").orderBy("idx")
     cut = F.when(F.lag("idx").over(by_row) == F.col("idx") - 1, 0).otherwise(1)
@@ -90,7 +92,7 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     widest = runs.agg(F.max("m")).first()[0]
     if widest is None:
         return runs.select("k", F.array("start").alias("deleted"))
-    first = _first_ranks(active).withColumnRenamed("h", "line")
+    first = common.written(_first_ranks(active).withColumnRenamed("h", "line"), "first")
     ranks = active.join(first, active.h == first.line).select("k", "idx", "rank")
     named, width = None, 1
     while True:
@@ -107,6 +109,7 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     named = common.written(named, "named")
     place = F.struct(F.col("o").isNull().alias("last"), "o", "k", "start")
     firsts = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = common.written(firsts, "firsts")
     copies = named.join(firsts, ["m", "head", "tail"]).filter((F.col("k") != F.col("first.k")) | (F.col("start") != F.col("first.start")))
     gone = copies.select("k", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("idx")).distinct()
     raw = gone.join(table.select(F.col("k").alias("tk"), F.col("idx").alias("ti"), "raw"), (F.col("k") == F.col("tk")) & (F.col("idx") == F.col("ti")))
