@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("embeddings", "html", "linededup", "mixing", "packing", "quality", "secrets", "simhash", "urls")
+MODULES = ("embeddings", "html", "linededup", "lm", "mixing", "packing", "quality", "secrets", "simhash", "urls")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
