@@ -32,8 +32,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     def cut(batches):
         coder, turn = tokens.encoder(tokenizer), 0
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
                 ids, bounds = coder.encode(batch.column(1))
                 n = np.diff(bounds) + 1
                 count = -(-n // capacity)

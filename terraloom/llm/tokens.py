@@ -11,12 +11,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew (ids don't change).
-CACHE_WORDS = 400_000
-_END = ".,;:!?*#%&$|)\""
+CACHE_WORDS = 600_000
+#: Punctuation between a letter and white space is a word of its own to the tokenizer, so it is set apart.
+_ENDING = r"""(\pL)([.,;:!?*#%&$|)"]+)(\s|$)"""
 #: Words of these letters alone are one piece for any letter-run splitter, and already in composed form.
 _PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -24,18 +31,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
 
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases.
 
-    For such a tokenizer a text's ids are its words' ids in turn. A word that ends in punctuation after a
-    letter is cut there, as the tokenizer's own splitting does. Texts with "<|" may hold special tokens and
-    are encoded whole.
+    For such a tokenizer a text's ids are its words' ids in turn, and a distinct word is encoded once.
+    Texts with "<|" may hold special tokens and are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,43 +47,34 @@ class WordEncoder:
         self._reset()
 
     def _reset(self):
-        self.word, self.core = {}, {}
+        self.word: dict[str, int] = {}
         self.start, self.size, self.flat = array("q"), array("q"), array("I")
 
-    def _cores(self, cores: list[str]):
-        odd, known = [], self.core
-        for c in cores:
-            if c not in known:
-                if _PLAIN.fullmatch(c):  # straight to the model: normalizing and splitting change nothing
-                    plain = c if c.isascii() else "".join(self.letters[b] for b in c.lower().encode())
-                    known[c] = [t.id for t in self.model.tokenize(plain)]
-                else:
-                    odd.append(c)
+    def _learn(self, words: list[str]):
+        """Plain words go straight to the model, as normalizing and splitting change nothing in them."""
+        tokenize, odd = self.model.tokenize, []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                self._keep(w, [t.id for t in tokenize(w)])
+            elif _PLAIN.fullmatch(w):
+                self._keep(w, [t.id for t in tokenize("".join([self.letters[b] for b in w.lower().encode()]))])
+            else:
+                odd.append(w)
         if odd:
-            for c, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
-                known[c] = e.ids
+            for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
+                self._keep(w, e.ids)
+
+    def _keep(self, word: str, ids: list[int]):
+        self.word[word] = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
 
     def _indices(self, words: list[str]) -> np.ndarray:
-        if len(self.word) + len(self.core) > CACHE_WORDS:
+        if len(self.word) > CACHE_WORDS:
             self._reset()
-        known = self.word
-        new = [w for w in words if w not in known]
-        if new:
-            parts = []
-            for w in new:
-                core = w.rstrip(_END)
-                if core and core != w and core[-1].isalpha() and ord(core[-1]) < 0x250:
-                    parts.append((core, w[len(core) :]))
-                else:
-                    parts.append((w,))
-            self._cores([p for ps in parts for p in ps])
-            for w, ps in zip(new, parts, strict=True):
-                known[w] = len(self.start)
-                self.start.append(len(self.flat))
-                for p in ps:
-                    self.flat.extend(self.core[p])
-                self.size.append(len(self.flat) - self.start[-1])
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        self._learn([w for w in words if w not in self.word])
+        return np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]; null has none."""
@@ -95,7 +86,7 @@ class WordEncoder:
             keep = np.ones(len(texts), bool)
             keep[odd] = False
             texts = pc.if_else(pa.array(keep), texts, pa.scalar("", pa.large_string()))
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _ENDING, r"\1 \2\3"))
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         index = self._indices(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
