@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import common, graph
 
-LEAST_COSINE, TREES, LEAF, SPILL, SEED = 0.98, 4, 256, 0.035, 42
+LEAST_COSINE, TREES, LEAF, SPILL, SEED = 0.98, 4, 1024, 0.035, 42
 #: Points a node's cut is fitted on, directions tried, levels cut at once, and levels in all.
 SAMPLE, DIRECTIONS, STEP, DEEPEST = 1024, 6, 4, 40
 #: A cut that sends more than this share of a node to one side doesn't divide it; such a node is a leaf.
