@@ -1,4 +1,446 @@
 """Every reference query by name, with the DuckDB SQL it must equal where SQL can express it."""
 
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from terraloom.functions import pixels as px
+from terraloom.operators import align, evaluate, inventory, lighting, points, solar, stencil, timegen, zonal
+from terraloom.plans import proxies, settings
+from terraloom.plans.proxies import DEM, POINTS, PROB
+from terraloom.session import load
+from terraloom.sources import files
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+LOW, MEDIUM = 20_000.0, 60_000.0  # strata bounds in the proxies' heights
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+_HEIGHT = "coalesce(CAST(dsm AS DOUBLE) - CAST(dtm AS DOUBLE), CAST(dsm AS DOUBLE), CAST(dtm AS DOUBLE), 0.0)"
+
+
+def _stratum(h: str, mask: str, low: float = LOW, medium: float = MEDIUM) -> str:
+    return f"CASE WHEN {mask} THEN CASE WHEN {h} < {low} THEN 0 WHEN {h} < {medium} THEN 1 WHEN {h} >= {medium} THEN 2 END END"
+
+
+# --- points to rasters -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT {_HEIGHT} AS h, {_stratum(_HEIGHT, "cls IN (3, 4, 5, 8)")} AS stratum FROM ras)
+SELECT coalesce(stratum, -1) AS stratum, count(*) AS n, round(sum(h), 2) AS height_sum, max(h) AS height_max FROM s GROUP BY 1""")
+def strata_from_points(spark, sf):
+    s = points.strata(proxies.raster(spark, sf), LOW, MEDIUM)
+    return s.groupBy(F.coalesce("stratum", F.lit(-1)).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("height"), 2).alias("height_sum"), F.max("height").alias("height_max"))
+
+
+@query(f'WITH {POINTS} SELECT "row", col, CAST(dsm AS DOUBLE) AS dsm, CAST(dtm AS DOUBLE) AS dtm, cls FROM ras')
+def rasterize_dsm_dtm_class(spark, sf):
+    r = proxies.raster(spark, sf)
+    return r.select("row", "col", F.col("dsm").cast("double").alias("dsm"), F.col("dtm").cast("double").alias("dtm"), "cls")
+
+
+@query(f"""WITH {POINTS} SELECT cls, min(x) AS x0, max(y) AS y1, greatest(CAST(ceil((max(x) - min(x)) / 2) AS INTEGER), 1) AS width,
+greatest(CAST(ceil((max(y) - min(y)) / 2) AS INTEGER), 1) AS height FROM pts GROUP BY cls""")
+def point_extent(spark, sf):
+    return points.extent(proxies.points(spark, sf), 2.0, "cls")
+
+
+@query(f'WITH {POINTS} SELECT "row", col, x0 + (col + 0.5) AS x, y1 - ("row" + 0.5) AS y FROM ras, ext')
+def pixel_centres(spark, sf):
+    p = proxies.points(spark, sf)
+    at = proxies.raster(spark, sf).crossJoin(F.broadcast(points.extent(p, 1.0)))
+    return at.select("row", "col", (F.col("x0") + (F.col("col") + 0.5)).alias("x"), (F.col("y1") - (F.col("row") + 0.5)).alias("y"))
+
+
+# --- class probabilities ---------------------------------------------------------------------------------
+
+
+def _reweighted(name):
+    weights = settings.band_weights(name)
+
+    def run(spark, sf):
+        best = px.argmax(px.reweight("probs", weights))
+        p = proxies.probabilities(spark, sf).withColumn("band", best)
+        return p.select("vec_id", "band", px.remap("band", settings.MAPPING, settings.IGNORE).alias("cls"))
+
+    products = ", ".join(f"CAST(CAST(probs[{k + 1}] AS DOUBLE) * {w} AS FLOAT)" for k, w in enumerate(weights))
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in settings.MAPPING.items())
+    sql = f"""WITH {PROB}, w AS (SELECT vec_id, [{products}] AS p FROM prob), b AS (SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS band FROM w)
+SELECT vec_id, band, CASE band {cases} ELSE {settings.IGNORE} END AS cls FROM b"""
+    query(sql, f"prob_reweight_argmax_remap_{name}")(run)
+
+
+for _set in settings.WEIGHT_SETS:
+    _reweighted(_set)
+
+_FLAIR = f"""flair AS (SELECT "row", col, vec_id, CASE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 WHEN 4 THEN 255 ELSE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 END AS flair FROM prob),
+both_ AS (SELECT ras.*, flair.flair, {_HEIGHT} AS h FROM ras JOIN flair ON ras."row" = flair."row" AND ras.col = flair.col)"""
+
+
+def _both(spark, sf):
+    """Point pixels joined with an image map of classes 0..3 and 255."""
+    band = px.argmax("probs") % 5
+    flair = proxies.probabilities(spark, sf).select("row", "col", F.when(band == 4, 255).otherwise(band).alias("flair"))
+    return points.strata(proxies.raster(spark, sf), LOW, MEDIUM).drop("stratum").join(flair, ["row", "col"])
+
+
+def _fused(everywhere, modify):
+    def run(spark, sf):
+        b = _both(spark, sf)
+        lidar, flair = px.vegetation_map("cls", "height", "flair", "flair", (LOW, MEDIUM), (LOW / 2, MEDIUM / 2), modify, keep_class1=True)
+        b = b.withColumns({"lidar": lidar, "image": flair})
+        return b.select("row", "col", "lidar", "image", px.three_to_two("image").alias("image2"), px.fuse("lidar", "image", everywhere).alias("fused"))
+
+    mask = "(cls IN (3, 4, 5, 8) OR (cls = 1 AND flair <> 255))"
+    image = _stratum("h", mask, LOW / 2, MEDIUM / 2) if modify else "flair"
+    rest = "image" if everywhere else "CASE WHEN image = 0 THEN image END"
+    return run, f"""WITH {POINTS}, {PROB}, {_FLAIR}, m AS (SELECT "row", col, {_stratum("h", mask)} AS lidar, {image} AS image FROM both_)
+SELECT "row", col, lidar, image, CASE WHEN image = 3 THEN 2 ELSE image END AS image2, CASE WHEN lidar IN (0, 1, 2) THEN lidar ELSE {rest} END AS fused FROM m"""
+
+
+for _name, _everywhere, _modify in (("fusion_lidar_priority", True, False), ("fusion_herbaceous_only", False, False), ("fusion_modified_flair", True, True)):
+    _run, _sql = _fused(_everywhere, _modify)
+    query(_sql, _name)(_run)
+
+_LEGACY = "CASE WHEN cls = 5 OR flair <> 255 THEN (CAST(dsm AS DOUBLE) - CAST(dtm AS DOUBLE)) / 5000 END"
+_LEGACY_CLASS = "CASE WHEN h >= 0.5 AND h < 1.5 THEN 1 WHEN h >= 1.5 AND h < 5 THEN 2 WHEN h >= 5 AND h < 15 THEN 3 WHEN h >= 15 THEN 4 END"
+
+
+def _legacy(spark, sf):
+    top, ground = F.col("dsm").cast("double"), F.col("dtm").cast("double")
+    b = _both(spark, sf).withColumn("h", px.legacy_height(top, ground, "cls", "flair") / 5000)
+    return b.select("row", "col", "h", px.legacy_class("h").alias("cls"), "flair")
+
+
+@query(f'WITH {POINTS}, {PROB}, {_FLAIR}, l AS (SELECT "row", col, {_LEGACY} AS h, flair FROM both_) SELECT "row", col, h, {_LEGACY_CLASS} AS cls FROM l')
+def legacy_height_class(spark, sf):
+    return _legacy(spark, sf).drop("flair")
+
+
+@query(f"""WITH {POINTS}, {PROB}, {_FLAIR}, l AS (SELECT "row", col, {_LEGACY} AS h, flair FROM both_), k AS (SELECT "row", col, {_LEGACY_CLASS} AS cls, flair FROM l)
+SELECT "row", col, coalesce(CASE cls WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 END, CASE WHEN flair IN (0, 1, 2, 3) THEN flair END) AS fused FROM k""")
+def legacy_fusion(spark, sf):
+    return _legacy(spark, sf).select("row", "col", px.legacy_fuse("cls", "flair").alias("fused"))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------
+
+_PAIRS = f"""{PROB}, pairs AS (SELECT label % 4 AS ref, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 4 AS pred FROM prob),
+dense AS (SELECT r.ref, p.pred FROM (SELECT unnest(range(5)) AS ref) r, (SELECT unnest(range(5)) AS pred) p),
+cm AS (SELECT CAST(d.ref AS INTEGER) AS ref, CAST(d.pred AS INTEGER) AS pred, count(pairs.ref) AS n FROM dense d LEFT JOIN pairs ON d.ref = pairs.ref AND d.pred = pairs.pred GROUP BY 1, 2)"""
+_METRICS = f"""{_PAIRS}, t AS (SELECT ref AS class_id, sum(CASE WHEN ref = pred THEN n ELSE 0 END) AS tp, sum(n) AS r FROM cm GROUP BY 1), c AS (SELECT pred AS class_id, sum(n) AS p FROM cm GROUP BY 1),
+m AS (SELECT class_id, CAST(tp AS DOUBLE) / nullif(CAST(r + p - tp AS DOUBLE), 0) AS iou, CAST(tp AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0) AS "precision", CAST(tp AS DOUBLE) / nullif(CAST(r AS DOUBLE), 0) AS recall,
+    CAST(2 * tp AS DOUBLE) / nullif(CAST(r + p AS DOUBLE), 0) AS dice FROM t JOIN c USING (class_id))"""
+
+
+def _cm(spark, sf):
+    p = proxies.probabilities(spark, sf).select((F.col("label") % 4).alias("ref"), (px.argmax("probs") % 4).alias("pred"))
+    return evaluate.confusion(p, 5, empty=4)
+
+
+@query(f"WITH {_PAIRS} SELECT ref, pred, n FROM cm")
+def confusion_dense(spark, sf):
+    return _cm(spark, sf)
+
+
+@query(f"WITH {_PAIRS} SELECT ref, pred, n, coalesce(n * 100.0 / nullif(sum(n) OVER (PARTITION BY ref), 0), 0.0) AS percent FROM cm".replace("n * 100.0", "CAST(n AS DOUBLE) * 100"))
+def confusion_percent(spark, sf):
+    return evaluate.percent(_cm(spark, sf))
+
+
+@query(f'WITH {_METRICS} SELECT class_id, iou, "precision", recall, dice FROM m')
+def class_metrics(spark, sf):
+    return evaluate.metrics(_cm(spark, sf))
+
+
+@query(f'WITH {_METRICS} SELECT round(avg(iou), 9) AS mean_iou, round(avg("precision"), 9) AS mean_precision, round(avg(recall), 9) AS mean_recall, round(avg(dice), 9) AS mean_dice FROM m WHERE class_id <> 4')
+def mean_metrics(spark, sf):
+    names = settings.CLASS_NAMES | {4: "Autre"}
+    s = evaluate.summary(evaluate.metrics(_cm(spark, sf)), names)
+    return s.select(*(F.round(c, 9).alias(c) for c in s.columns))
+
+
+@query(f"""WITH {DEM}, a AS (SELECT "row", col, cls % 4 AS v FROM dem), b AS (SELECT "row", col, CAST(floor(v / 1000) AS INTEGER) % 4 AS v FROM dem WHERE "row" < 15 AND col < 60),
+o AS (SELECT a.v AS ref, b.v AS pred FROM b JOIN a ON a."row" = CAST(floor(b."row" * 2 + 1.0 + 0.5) AS INTEGER) AND a.col = CAST(floor(b.col * 2 + 1.0 + 2.5) AS INTEGER)),
+d AS (SELECT r.ref, p.pred FROM (SELECT unnest(range(4)) AS ref) r, (SELECT unnest(range(4)) AS pred) p)
+SELECT CAST(d.ref AS INTEGER) AS ref, CAST(d.pred AS INTEGER) AS pred, count(o.ref) AS n FROM d LEFT JOIN o ON d.ref = o.ref AND d.pred = o.pred GROUP BY 1, 2""")
+def overlap_confusion(spark, sf):
+    d = proxies.dem(spark, sf)
+    ref = d.select("row", "col", (F.col("cls") % 4).alias("v"))
+    pred = d.filter("row < 15 and col < 60").select("row", "col", (F.floor(F.col("v") / 1000).cast("int") % 4).alias("v"))
+    return evaluate.confusion(align.overlap(ref, pred, (0.0, 100.0, 1.0), (2.5, 99.5, 2.0)), 4)
+
+
+# --- alignment -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DEM}, t AS (SELECT CASE WHEN cls % 2 = 0 THEN 'a' ELSE 'b' END AS tile_id, "row", col, CASE WHEN cls <> 3 THEN v END AS v FROM dem
+UNION ALL SELECT 'c' AS tile_id, "row" + 1 AS "row", col + 1 AS col, v + 1 AS v FROM dem)
+SELECT "row", col, first(v ORDER BY tile_id) FILTER (WHERE v IS NOT NULL) AS v FROM t GROUP BY "row", col""")
+def mosaic_first(spark, sf):
+    d = proxies.dem(spark, sf)
+    first = d.select(F.when(F.col("cls") % 2 == 0, "a").otherwise("b").alias("tile_id"), "row", "col", F.when(F.col("cls") != 3, F.col("v")).alias("v"))
+    shifted = d.select(F.lit("c").alias("tile_id"), (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), (F.col("v") + 1).alias("v"))
+    return align.mosaic(first.unionByName(shifted))
+
+
+_UNEQUAL = """a AS (SELECT "row", col, v AS left_v FROM dem WHERE "row" < 10), b AS (SELECT "row", col, cls AS right_v FROM dem WHERE col < 7)"""
+
+
+def _unequal(spark, sf):
+    d = proxies.dem(spark, sf)
+    return d.filter("row < 10").select("row", "col", F.col("v").alias("left_v")), d.filter("col < 7").select("row", "col", F.col("cls").alias("right_v"))
+
+
+@query(f'WITH {DEM}, {_UNEQUAL} SELECT coalesce(a."row", b."row") AS "row", coalesce(a.col, b.col) AS col, left_v, coalesce(right_v, 255) AS right_v FROM a FULL JOIN b ON a."row" = b."row" AND a.col = b.col')
+def pad_outer_align(spark, sf):
+    return align.pad_outer(*_unequal(spark, sf), fill={"right_v": 255})
+
+
+@query(f'WITH {DEM}, {_UNEQUAL} SELECT a."row", a.col, left_v, right_v FROM a LEFT JOIN b ON a."row" = b."row" AND a.col = b.col')
+def pad_left_align(spark, sf):
+    return align.pad_left(*_unequal(spark, sf))
+
+
+@query(f'WITH {DEM}, {_UNEQUAL}, u AS (SELECT "row", col FROM a UNION ALL SELECT "row", col FROM b) SELECT max("row") + 1 AS height, max(col) + 1 AS width FROM u')
+def max_shape(spark, sf):
+    return align.shape(*_unequal(spark, sf))
+
+
+@query(f'WITH {DEM} SELECT CAST(floor("row" / 4) AS INTEGER) AS "row", CAST(floor(col / 4) AS INTEGER) AS col, round(avg(v), 6) AS v FROM dem GROUP BY 1, 2')
+def block_average_resample(spark, sf):
+    r = align.block_average(proxies.dem(spark, sf), 4)
+    return r.select("row", "col", F.round("v", 6).alias("v"))
+
+
+# --- grids and zonal statistics --------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 100.0 + i * 25.0 AS minx, 200.0 + j * 25.0 AS miny, 100.0 + i * 25.0 + 25 AS maxx, 200.0 + j * 25.0 + 25 AS maxy
+FROM (SELECT unnest(range(13)) AS i), (SELECT unnest(range(8)) AS j)""".replace("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 100.0 + i * 25.0 AS minx, 200.0 + j * 25.0 AS miny, 100.0 + i * 25.0 + 25 AS maxx, 200.0 + j * 25.0 + 25 AS maxy",
+"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(100 + i * 25 AS DOUBLE) AS minx, CAST(200 + j * 25 AS DOUBLE) AS miny, CAST(125 + i * 25 AS DOUBLE) AS maxx, CAST(225 + j * 25 AS DOUBLE) AS maxy"))
+def grid_cells(spark, sf):
+    return zonal.grid(spark, 100.0, 200.0, 430.0, 415.0, 25.0)
+
+
+def _slopes(spark, sf):
+    g = stencil.gradient(proxies.dem(spark, sf))
+    rad = px.slope("d_row", "d_col")
+    return g.withColumns({"slope_rad": rad, "slope_deg": F.degrees(rad), "x": F.col("col") + 0.5, "y": -(F.col("row") + 0.5), "z": F.col("v")})
+
+
+_STATS = {
+    "mean_thresholded": "avg(slope_deg) FILTER (WHERE slope_deg BETWEEN 5 AND 50)",
+    "slope_std_dev": "stddev_pop(slope_deg)",
+    "slope_max": "max(slope_deg)",
+    "slope_mean_denoised": "avg(slope_rad)",
+}
+for _method, _stat in _STATS.items():
+    query(
+        f'WITH {DEM} SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INTEGER) AS j, round(coalesce({_stat}, 0.0), 6) AS slope FROM slopes GROUP BY 1, 2',
+        f"zonal_slope_{_method}",
+    )(lambda spark, sf, m=_method: zonal.zonal_slope(_slopes(spark, sf), 5, m).withColumn("slope", F.round("slope", 6)))
+
+
+@query(f"""WITH {DEM}, k AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INTEGER) AS j, col + 0.5 AS x, -("row" + 0.5) AS y, v AS z FROM dem),
+s AS (SELECT i, j, count(*) AS n, var_pop(CAST(x AS DOUBLE)) AS sxx, var_pop(CAST(y AS DOUBLE)) AS syy, covar_pop(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) AS sxy, covar_pop(CAST(x AS DOUBLE), z) AS sxz, covar_pop(CAST(y AS DOUBLE), z) AS syz FROM k GROUP BY i, j),
+d AS (SELECT *, sxx * syy - sxy * sxy AS det, sxx + syy AS tr FROM s),
+p AS (SELECT i, j, n, CASE WHEN det > 1e-12 * tr * tr THEN (sxz * syy - syz * sxy) / nullif(det, 0) ELSE sxz / nullif(tr, 0) END AS a, CASE WHEN det > 1e-12 * tr * tr THEN (syz * sxx - sxz * sxy) / nullif(det, 0) ELSE syz / nullif(tr, 0) END AS b FROM d)
+SELECT i, j, round(CASE WHEN n >= 3 THEN coalesce(degrees(atan(sqrt(a * a + b * b))), 0.0) ELSE 0.0 END, 6) AS slope FROM p""")
+def zonal_slope_best_fit_plane(spark, sf):
+    return zonal.zonal_slope(_slopes(spark, sf), 5, "best_fit_plane").withColumn("slope", F.round("slope", 6))
+
+
+_BOXES = """box AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.25 + i * 2.5 AS minx, 0.25 + j * 2.5 AS miny, 2.75 + i * 2.5 AS maxx, 2.75 + j * 2.5 AS maxy FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(6)) AS j)),
+zm AS (SELECT i, j, sum((least(maxx, col + 1) - greatest(minx, col)) * (least(maxy, "row" + 1) - greatest(miny, "row")) * v) / sum((least(maxx, col + 1) - greatest(minx, col)) * (least(maxy, "row" + 1) - greatest(miny, "row"))) AS mean
+    FROM box JOIN dem ON col + 1 > minx AND col < maxx AND "row" + 1 > miny AND "row" < maxy GROUP BY i, j)"""
+
+
+def _boxes(spark):
+    return zonal.grid(spark, 0.25, 0.25, 20.26, 15.26, 2.5)
+
+
+@query(f"WITH {DEM}, {_BOXES} SELECT box.i, box.j, round(mean, 6) AS mean FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j")
+def zonal_weighted_mean(spark, sf):
+    return zonal.weighted_mean(_boxes(spark), proxies.dem(spark, sf)).select("i", "j", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {DEM}, {_BOXES}, im AS (SELECT box.i, box.j, coalesce(mean, 0.0) / 100 / 1200 AS imp FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j),
+sl AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INTEGER) AS j, coalesce(stddev_pop(slope_deg), 0.0) AS slope FROM slopes GROUP BY 1, 2),
+b AS (SELECT sl.i, sl.j, slope, coalesce(imp, 0.0) AS imp, (slope - min(slope) OVER ()) / nullif(max(slope) OVER () - min(slope) OVER (), 0) AS ns FROM sl LEFT JOIN im ON sl.i = im.i AND sl.j = im.j)
+SELECT i, j, round(imp, 6) AS imperviousness, round(ns, 6) AS normalized_slope, round((1 - imp) * 0.6 + (1 - ns) * (1 - 0.6), 6) AS infiltration_index FROM b""".replace("(1 - 0.6)", "0.4"))
+def infiltration_index(spark, sf):
+    imp = zonal.weighted_mean(_boxes(spark), proxies.dem(spark, sf)).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
+    s = zonal.zonal_slope(_slopes(spark, sf), 5, "slope_std_dev").join(imp, ["i", "j"], "left").fillna(0.0, ["imp"])
+    s = zonal.min_max(s, "slope", "ns")
+    index = px.infiltration("imp", "ns", 0.6)
+    return s.select("i", "j", F.round("imp", 6).alias("imperviousness"), F.round("ns", 6).alias("normalized_slope"), F.round(index, 6).alias("infiltration_index"))
+
+
+# --- stencils --------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {DEM} SELECT "row", col, d_row, d_col, round(slope_rad, 9) AS slope_rad, round(slope_deg, 6) AS slope_deg FROM slopes')
+def gradient_slope(spark, sf):
+    return _slopes(spark, sf).select("row", "col", "d_row", "d_col", F.round("slope_rad", 9).alias("slope_rad"), F.round("slope_deg", 6).alias("slope_deg"))
+
+
+@query(f'WITH {DEM} SELECT "row", col, CAST(area AS INTEGER) AS area FROM areas')
+def lower_neighbour_count(spark, sf):
+    return stencil.lower_neighbours(proxies.dem(spark, sf)).select("row", "col", "area")
+
+
+@query(f"""WITH {DEM} SELECT a."row", a.col, round(ln(area / tan(CASE WHEN slope_rad = 0 THEN 1e-6 ELSE slope_rad END)), 4) AS wetness
+FROM areas a JOIN slopes s ON a."row" = s."row" AND a.col = s.col""")
+def wetness_index(spark, sf):
+    s = stencil.lower_neighbours(_slopes(spark, sf))
+    return s.select("row", "col", F.round(px.wetness("area", "slope_rad"), 4).alias("wetness"))
+
+
+_ROUND = """f{k} AS (SELECT a."row", a.col, coalesce(max(a.v), avg(b.v)) AS v FROM f{j} a LEFT JOIN f{j} b ON a.v IS NULL AND b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1
+    GROUP BY a."row", a.col)"""
+
+
+@query(f"""WITH {DEM}, low AS (SELECT min(v) AS v FROM holed), f0 AS (SELECT "row", col, CASE WHEN cls = 7 THEN low.v ELSE holed.v END AS v FROM holed, low),
+{", ".join(_ROUND.format(k=k, j=k - 1) for k in (1, 2, 3))} SELECT "row", col, round(coalesce(f3.v, low.v), 6) AS v FROM f3, low""")
+def fill_jacobi(spark, sf):
+    return stencil.fill_jacobi(proxies.holed(spark, sf), water=7).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query()
+def fill_scan_order(spark, sf):
+    tile = F.floor(F.col("row") / 256).cast("string")
+    return stencil.fill_in_place(proxies.holed(spark, sf).withColumn("tile_id", tile), 3)
+
+
+# --- time ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-08 00:00:00', INTERVAL 3 HOUR)) AS snapshot")
+def snapshots_inclusive(spark, sf):
+    s = timegen.snapshots(spark, datetime(2024, 1, 1), datetime(2024, 1, 8), 3)
+    return s.select(F.col("snapshot").cast("timestamp").alias("snapshot"))
+
+
+@query("""WITH t AS (SELECT DISTINCT user_id AS tile FROM events WHERE user_id % 10 = 0), s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR)) AS snapshot)
+SELECT tile, strftime(snapshot, '%Y-%m-%dT%H:%M:%S') AS snapshot FROM t, s""")
+def snapshot_fanout(spark, sf):
+    tiles = load(spark, sf, "events").filter("user_id % 10 = 0").select(F.col("user_id").alias("tile")).distinct()
+    out = timegen.fan_out(tiles, timegen.snapshots(spark, datetime(2024, 1, 1), datetime(2024, 1, 2), 6))
+    return out.select("tile", F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot"))
+
+
+@query("""WITH h AS (SELECT unnest(generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2024-12-31 23:00:00', INTERVAL 1 HOUR)) AS ts)
+SELECT ts, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hour FROM h""")
+def hourly_calendar(spark, sf):
+    return timegen.calendar(spark, 2023, 2024)
+
+
+_SUN = """h AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 23:00:00', INTERVAL 1 HOUR)) AS ts),
+a AS (SELECT ts, (epoch(ts) - 946728000.0) / 86400.0 AS d FROM h), b AS (SELECT *, d / 36525.0 AS t FROM a),
+c AS (SELECT *, 280.46646 + t * (36000.76983 + t * 0.0003032) AS l, radians(357.52911 + t * (35999.05029 - t * 0.0001537)) AS m, radians(125.04 - t * 1934.136) AS o FROM b),
+e AS (SELECT *, radians(l + sin(m) * (1.914602 - t * (0.004817 + t * 0.000014)) + sin(2 * m) * (0.019993 - t * 0.000101) + sin(3 * m) * 0.000289 - 0.00569 - sin(o) * 0.00478) AS lam, radians(23.439291 - t * 0.0130042 + cos(o) * 0.00256) AS eps FROM c),
+f AS (SELECT *, asin(sin(eps) * sin(lam)) AS dec, radians(280.46061837 + d * 360.98564736629 + t * t * 0.000387933 + 4.85 - degrees(atan2(cos(eps) * sin(lam), cos(lam)))) AS ha FROM e),
+g AS (SELECT *, degrees(asin(sin(radians(45.76)) * sin(dec) + cos(radians(45.76)) * cos(dec) * cos(ha))) AS tr FROM f),
+i AS (SELECT *, tr - cos(radians(tr)) * (8.794 / 3600) AS seen FROM g),
+j AS (SELECT ts, seen + CASE WHEN seen >= -0.8333 THEN (1013.25 / 1010.0) * (283.0 / (273.0 + 14.6)) * 1.02 / (tan(radians(seen + 10.3 / (seen + 5.11))) * 60) ELSE 0.0 END AS elevation,
+    degrees(atan2(sin(ha), cos(ha) * sin(radians(45.76)) - tan(dec) * cos(radians(45.76)))) + 180 AS azimuth FROM i)"""
+
+
+@query(f"WITH {_SUN} SELECT ts, round(CASE WHEN elevation > -1 THEN elevation END, 4) AS elevation, round(CASE WHEN elevation > -1 THEN azimuth END, 4) AS azimuth FROM j")
+def sun_position(spark, sf):
+    s = solar.ephemeris(timegen.calendar(spark, 2024, 2024), 45.76, 4.85)
+    return s.select("ts", F.round("elevation", 4).alias("elevation"), F.round("azimuth", 4).alias("azimuth"))
+
+
+# --- lighting, inventories, names ------------------------------------------------------------------------
+
+
+def _lighting(spark, sf):
+    return load(spark, sf, "events").select((F.col("user_id") % 20).alias("tile"), F.col("event_id").alias("pos"), (F.col("event_type") == "click").alias("lighted"))
+
+
+@query("SELECT user_id % 20 AS tile, count(*) FILTER (WHERE event_type = 'click') AS n_lit FROM events GROUP BY 1")
+def lit_count(spark, sf):
+    return lighting.lit_count(_lighting(spark, sf), "tile")
+
+
+@query("""WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id % 20) AS first_ FROM events)
+SELECT user_id % 20 AS tile, count(*) FILTER (WHERE event_type = 'click') AS n_lit FROM f WHERE event_id <> first_ GROUP BY 1""")
+def lit_count_skip_first(spark, sf):
+    return lighting.lit_count(_lighting(spark, sf), "tile", skip_first=True)
+
+
+@query("SELECT user_id % 20 AS tile, string_agg(CASE WHEN event_type = 'click' THEN '1' ELSE '0' END, '' ORDER BY event_id) AS flags FROM events GROUP BY 1")
+def lit_flags_by_tile(spark, sf):
+    f = lighting.flags_by_tile(_lighting(spark, sf))
+    return f.select("tile", F.array_join(F.transform("flags", lambda x: F.when(x, "1").otherwise("0")), "").alias("flags"))
+
+
+def _tiles(spark, sf):
+    k = F.col("user_id")
+    x, y = k * 1000 + 1_800_000, (k % 7) * 1000 + 5_170_000
+    named = k % 3 == 0
+    name = F.concat_ws("_", (x / 1000).cast("long").cast("string"), (y / 1000).cast("long").cast("string"))
+    users = load(spark, sf, "events").select("user_id").distinct()
+    return users.select(F.when(~named, x).alias("x_min"), F.when(~named, y).alias("y_min"), F.when(named, name).alias("nom"), F.concat(F.lit("https://tiles.example.org/t/"), k.cast("string"), F.lit(".laz ")).alias("url"))
+
+
+_TILES = "t AS (SELECT user_id * 1000 + 1800000 AS x_min, (user_id % 7) * 1000 + 5170000 AS y_min, CAST(user_id AS VARCHAR) || '.laz' AS file FROM (SELECT DISTINCT user_id FROM events))"
+
+
+@query(f"WITH {_TILES} SELECT x_min, y_min, file FROM t")
+def inventory_parse(spark, sf):
+    return inventory.tile_origin(_tiles(spark, sf)).select("x_min", "y_min", px.url_basename("url").alias("file"))
+
+
+@query(f"WITH {_TILES} SELECT x_min, y_min, file FROM t WHERE x_min BETWEEN 1805000 AND 1812000 AND y_min BETWEEN 5170000 AND 5174000")
+def inventory_bbox(spark, sf):
+    tiles = inventory.tile_origin(_tiles(spark, sf))
+    return inventory.select(tiles, 1_805_000, 1_812_000, 5_170_000, 5_174_000).select("x_min", "y_min", px.url_basename("url").alias("file"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_mapping(spark, sf):
+    keyed = files.int_keys(F.regexp_replace("props", '"k"', '"1"'))
+    return load(spark, sf, "events").select("event_id", F.element_at(keyed, 1).alias("k"))
+
+
+@query("SELECT page_id, split_part(rtrim(trim(url), ''), '/', -1) AS name, regexp_replace(split_part(trim(url), '/', -1), '\\.[^.]*$', '_0p5m.tif') AS raster FROM pages")
+def url_basename(spark, sf):
+    name = px.url_basename("url")
+    return load(spark, sf, "pages").select("page_id", name.alias("name"), px.with_resolution(name).alias("raster"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(event_id AS INTEGER) END AS tile FROM events")
+def tile_id_from_uri(spark, sf):
+    uri = F.when(F.col("event_id") % 3 == 0, F.lit("tiles/none.json")).otherwise(F.concat(F.lit("tiles/"), F.col("event_id").cast("string"), F.lit(".b3dm")))
+    return load(spark, sf, "events").select("event_id", px.tile_id(uri).alias("tile"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def not_yet_processed(spark, sf):
+    return inventory.not_yet(load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT user_id, arg_max(event_id, ts) AS path, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_artifact(spark, sf):
+    return inventory.latest(load(spark, sf, "events").withColumnRenamed("event_id", "path"), ["user_id"], "path", "ts")
+
+
+@query("SELECT CAST(floor(l_partkey / 20 / 256) AS INTEGER) AS block_col, CAST(floor(l_suppkey / 5 / 256) AS INTEGER) AS block_row, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def raster_blocks(spark, sf):
+    p = load(spark, sf, "lineitem").select(F.floor(F.col("l_suppkey") / 5).alias("row"), F.floor(F.col("l_partkey") / 20).alias("col"))
+    return align.blocks(p).groupBy("block_row", "block_col").agg(F.count(F.lit(1)).alias("n"))
