@@ -155,7 +155,7 @@ def confusion_dense(spark, sf):
     return _cm(spark, sf)
 
 
-@query(f"WITH {_PAIRS} SELECT ref, pred, n, coalesce(n * 100.0 / nullif(sum(n) OVER (PARTITION BY ref), 0), 0.0) AS percent FROM cm".replace("n * 100.0", "CAST(n AS DOUBLE) * 100"))
+@query(f"WITH {_PAIRS} SELECT ref, pred, n, coalesce(CAST(n AS DOUBLE) * 100 / nullif(sum(n) OVER (PARTITION BY ref), 0), 0.0) AS percent FROM cm")
 def confusion_percent(spark, sf):
     return evaluate.percent(_cm(spark, sf))
 
@@ -228,9 +228,8 @@ def block_average_resample(spark, sf):
 # --- grids and zonal statistics --------------------------------------------------------------------------
 
 
-@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 100.0 + i * 25.0 AS minx, 200.0 + j * 25.0 AS miny, 100.0 + i * 25.0 + 25 AS maxx, 200.0 + j * 25.0 + 25 AS maxy
-FROM (SELECT unnest(range(13)) AS i), (SELECT unnest(range(8)) AS j)""".replace("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 100.0 + i * 25.0 AS minx, 200.0 + j * 25.0 AS miny, 100.0 + i * 25.0 + 25 AS maxx, 200.0 + j * 25.0 + 25 AS maxy",
-"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(100 + i * 25 AS DOUBLE) AS minx, CAST(200 + j * 25 AS DOUBLE) AS miny, CAST(125 + i * 25 AS DOUBLE) AS maxx, CAST(225 + j * 25 AS DOUBLE) AS maxy"))
+@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(100 + i * 25 AS DOUBLE) AS minx, CAST(200 + j * 25 AS DOUBLE) AS miny,
+CAST(125 + i * 25 AS DOUBLE) AS maxx, CAST(225 + j * 25 AS DOUBLE) AS maxy FROM (SELECT unnest(range(13)) AS i), (SELECT unnest(range(8)) AS j)""")
 def grid_cells(spark, sf):
     return zonal.grid(spark, 100.0, 200.0, 430.0, 415.0, 25.0)
 
@@ -280,7 +279,7 @@ def zonal_weighted_mean(spark, sf):
 @query(f"""WITH {DEM}, {_BOXES}, im AS (SELECT box.i, box.j, coalesce(mean, 0.0) / 100 / 1200 AS imp FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j),
 sl AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INTEGER) AS j, coalesce(stddev_pop(slope_deg), 0.0) AS slope FROM slopes GROUP BY 1, 2),
 b AS (SELECT sl.i, sl.j, slope, coalesce(imp, 0.0) AS imp, (slope - min(slope) OVER ()) / nullif(max(slope) OVER () - min(slope) OVER (), 0) AS ns FROM sl LEFT JOIN im ON sl.i = im.i AND sl.j = im.j)
-SELECT i, j, round(imp, 6) AS imperviousness, round(ns, 6) AS normalized_slope, round((1 - imp) * 0.6 + (1 - ns) * (1 - 0.6), 6) AS infiltration_index FROM b""".replace("(1 - 0.6)", "0.4"))
+SELECT i, j, round(imp, 6) AS imperviousness, round(ns, 6) AS normalized_slope, round((1 - imp) * 0.6 + (1 - ns) * 0.4, 6) AS infiltration_index FROM b""")
 def infiltration_index(spark, sf):
     imp = zonal.weighted_mean(_boxes(spark), proxies.dem(spark, sf)).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
     s = zonal.zonal_slope(_slopes(spark, sf), 5, "slope_std_dev").join(imp, ["i", "j"], "left").fillna(0.0, ["imp"])

@@ -59,7 +59,7 @@ DEM = (
     POINTS
     + """,
 dem AS (SELECT g."row", g.col, coalesce(CAST(dsm AS DOUBLE), 1000.0) AS v, coalesce(cls, 0) AS cls
-    FROM (SELECT r."row", c.col FROM (SELECT unnest(range(height)) AS "row" FROM ext) r, (SELECT unnest(range(width)) AS col FROM ext) c) g LEFT JOIN ras ON g."row" = ras."row" AND g.col = ras.col),
+    FROM (SELECT r."row", c.col FROM (SELECT CAST(unnest(range(height)) AS INTEGER) AS "row" FROM ext) r, (SELECT CAST(unnest(range(width)) AS INTEGER) AS col FROM ext) c) g LEFT JOIN ras ON g."row" = ras."row" AND g.col = ras.col),
 grad AS (SELECT d."row", d.col, d.v,
     CASE WHEN u.v IS NULL AND b.v IS NULL THEN 0.0 WHEN u.v IS NULL THEN b.v - d.v WHEN b.v IS NULL THEN d.v - u.v ELSE (b.v - u.v) / 2 END AS d_row,
     CASE WHEN l.v IS NULL AND r.v IS NULL THEN 0.0 WHEN l.v IS NULL THEN r.v - d.v WHEN r.v IS NULL THEN d.v - l.v ELSE (r.v - l.v) / 2 END AS d_col
