@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from terraloom.llm import common
 
 MIN_WORDS = 50
-#: Buckets of the first numbering: each holds a 4096th of the distinct lines.
-BUCKET_BITS = 12
+#: Buckets of the first numbering, each with a 4096th of the distinct lines, and blocks of later ones.
+BUCKET_BITS, BLOCKS = 12, 4096
 
 
 def lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
@@ -41,19 +41,25 @@ def _first_ranks(active: DataFrame) -> DataFrame:
     return counts.withColumn("within", within).join(base, "bucket").select("h", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def _refined(ranks: DataFrame, width: int) -> DataFrame:
+def _refined(ranks: DataFrame, width: int, n: int) -> DataFrame:
     """Ranks at twice the width: within each group, by how many members have a lesser rank `width` lines on.
 
-    Members are counted by (rank, next rank) before anything is ordered, so a line that a third of all rows
-    share is reduced to its distinct continuations first.
+    Members are counted by (rank, next rank) before anything is ordered, and a group's next ranks are summed
+    by blocks first: a line that a third of all `n` positions share has at most BLOCKS + 1 rows in any window.
     """
     ahead = Window.partitionBy("k").orderBy("idx")
     follows = F.lead("idx", width).over(ahead) == F.col("idx") + width
     pairs = ranks.withColumn("next", F.coalesce(F.when(follows, F.lead("rank", width).over(ahead)), F.lit(-1)))
     pairs = common.written(pairs, f"pairs{width}")
     counts = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
-    lesser = F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    finer = counts.select(F.col("rank").alias("r"), F.col("next").alias("x"), (F.col("rank") + lesser).alias("finer"))
+    counts = common.written(counts.withColumn("block", F.floor(F.col("next") / (n // BLOCKS + 1))), f"counts{width}")
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("rank", "block").agg(F.sum("n").alias("s"))
+    base = F.coalesce(F.sum("s").over(up_to("rank").orderBy("block")), F.lit(0))
+    base = sums.select(F.col("rank").alias("br"), F.col("block").alias("bb"), base.alias("base"))
+    within = F.coalesce(F.sum("n").over(up_to("rank", "block").orderBy("next")), F.lit(0))
+    finer = counts.withColumn("within", within).join(base, (F.col("rank") == F.col("br")) & (F.col("block") == F.col("bb")))
+    finer = finer.select(F.col("rank").alias("r"), F.col("next").alias("x"), (F.col("rank") + F.col("base") + F.col("within")).alias("finer"))
     finer = common.written(finer, f"finer{width}")
     joined = pairs.join(finer, (pairs.rank == finer.r) & (pairs.next == finer.x))
     return joined.withColumn("rank", F.col("finer")).drop("next", "r", "x", "finer")
@@ -89,7 +95,7 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     enough = F.sum("words").over(Window.partitionBy("k", "seg")) >= min_words
     active = common.written(segments.withColumn("enough", enough).filter("enough").drop("enough"), "active")
     runs = common.written(_runs(active, min_words), "runs")
-    widest = runs.agg(F.max("m")).first()[0]
+    widest, n = runs.agg(F.max("m")).first()[0], active.count()
     if widest is None:
         return runs.select("k", F.array("start").alias("deleted"))
     first = common.written(_first_ranks(active).withColumnRenamed("h", "line"), "first")
@@ -104,7 +110,7 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
         named = part if named is None else named.unionByName(part)
         if 2 * width > widest:
             break
-        ranks = _refined(ranks, width)
+        ranks = _refined(ranks, width, n)
         width *= 2
     named = common.written(named, "named")
     place = F.struct(F.col("o").isNull().alias("last"), "o", "k", "start")
