@@ -50,6 +50,6 @@ def summary(per_class: DataFrame, names: dict[int, str], excluded: tuple[str, ..
 def report(per_class: DataFrame, names: dict[int, str]) -> DataFrame:
     """One fixed-width line per class."""
     name = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("class_id"))
-    number = lambda c: F.coalesce(F.format_string("%10.4f", c), F.lit("       nan"))
+    number = lambda c: F.when(F.col(c).isNull(), "       nan").otherwise(F.format_string("%10.4f", c))
     line = F.concat(F.format_string("%-20s", name), *(number(c) for c in ("iou", "precision", "recall", "dice")))
     return per_class.select("class_id", line.alias("line"))

@@ -59,7 +59,7 @@ def annual_lines(sun: DataFrame, compat: bool = False) -> DataFrame:
 
     compat adds the two placeholders that put the reference's rows one column over its header.
     """
-    text = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("--"))
+    text = lambda c: F.when(F.col(c).isNull(), "--").otherwise(F.format_string("%.2f", c))
     hours = F.array_sort(F.collect_list(F.struct("hour", F.concat_ws(";", text("elevation"), text("azimuth")).alias("t"))))
     days = sun.groupBy("date").agg(F.concat_ws(";", F.transform(hours, lambda h: h["t"])).alias("t"))
     return days.select("date", F.concat_ws(";", "date", *([F.lit("--"), F.lit("--")] if compat else []), "t").alias("line"))
