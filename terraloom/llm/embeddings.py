@@ -251,5 +251,15 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+ORACLE = f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(v, lambda x: abs(x))) > 0),
+near AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= {LEAST_COSINE}),
+reach AS (SELECT r AS a, r AS b FROM e UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+part AS (SELECT reach.a, min(e.vec_id) AS component_id FROM reach JOIN e ON reach.b = e.r GROUP BY reach.a),
+deg AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT e.vec_id, coalesce(deg.n, 0) AS n_links, part.component_id, e.vec_id IS NOT DISTINCT FROM part.component_id AS kept
+FROM e JOIN part ON e.r = part.a LEFT JOIN deg ON e.r = deg.a"""
+
 QUERIES = {"op2_projection_forest": op2_projection_forest}
-ORACLES: dict = {}
+ORACLES = {"op2_projection_forest": ORACLE}

@@ -153,5 +153,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.when(F.col("deleted").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("n_deleted"), numbers.alias("deleted_lines"), "text")
 
 
+#: Every run of enough words that ends as soon as it has them, from each line on and up to each line, by its very text.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, text FROM documents),
+l AS (SELECT k, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS raw FROM d),
+s AS (SELECT k, raw, line, CAST(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+p AS (SELECT *, row_number() OVER o AS idx, sum(words) OVER o AS upto, sum(words) OVER o - words AS before FROM s WINDOW o AS (PARTITION BY k ORDER BY raw)),
+r AS (SELECT k, idx AS first, idx + count(*) OVER f - 1 AS last, sum(words) OVER f AS n FROM p WINDOW f AS (PARTITION BY k ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+    UNION ALL SELECT k, idx - count(*) OVER b + 1, idx, sum(words) OVER b FROM p WINDOW b AS (PARTITION BY k ORDER BY upto RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+u AS (SELECT DISTINCT k, first, last FROM r WHERE n >= {MIN_WORDS}),
+t AS (SELECT u.k, u.first, u.last, string_agg(p.line, chr(10) ORDER BY p.idx) AS body FROM u JOIN p ON u.k = p.k AND p.idx BETWEEN u.first AND u.last GROUP BY ALL),
+c AS (SELECT k, first, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY k, first) AS nth FROM t) WHERE nth > 1),
+g AS (SELECT DISTINCT p.k, p.raw FROM c JOIN p ON c.k = p.k AND p.idx BETWEEN c.first AND c.last),
+x AS (SELECT k, count(*) AS n, string_agg(CAST(raw AS VARCHAR), ',' ORDER BY raw) AS numbers FROM g GROUP BY k),
+y AS (SELECT l.k, string_agg(l.line, chr(10) ORDER BY l.raw) FILTER (WHERE g.raw IS NULL) AS rest FROM l LEFT JOIN g ON l.k = g.k AND l.raw = g.raw GROUP BY l.k)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_deleted, coalesce(x.numbers, '') AS deleted_lines, CASE WHEN d.text IS NOT NULL THEN coalesce(y.rest, '') END AS text
+FROM d LEFT JOIN x ON d.k = x.k LEFT JOIN y ON d.k = y.k"""
+
 QUERIES = {"op1_line_dedup": op1_line_dedup}
-ORACLES: dict = {}
+ORACLES = {"op1_line_dedup": ORACLE}

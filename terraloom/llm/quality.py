@@ -160,5 +160,39 @@ def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, ["doc_id"]).select(*columns)
 
 
+def _oracle() -> str:
+    word, quoted = r"[^\x20\x09-\x0D]+", ", ".join(f"'{w}'" for w in COMMON_WORDS)
+    fell = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
+    part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+    kinds = range(len(CLASSES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, lang, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+b AS (SELECT rid, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST({fell(common.BLANK)} AS BIGINT) AS blank, CAST(length(t) AS BIGINT) AS chars,
+    CAST({fell("[#*$%&|<>]+")} AS BIGINT) AS n_symbols, CAST({fell(chr(92) + "p{Ll}+")} AS BIGINT) AS k0, CAST({fell(chr(92) + "p{Lu}+")} AS BIGINT) AS k1, CAST({fell(chr(92) + "p{Nd}+")} AS BIGINT) AS k2,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
+f AS (SELECT b.rid, doc_id, lang, n_words, chars - blank AS word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    k0, k1, k2, n_symbols AS k3, chars - blank - k0 - k1 - k2 - n_symbols AS k4 FROM b LEFT JOIN r ON b.rid = r.rid),
+c AS (SELECT rid, lang, lower(x) AS word, count(*) AS n FROM (SELECT rid, lang, unnest(ws) AS x FROM w) WHERE lower(x) IN ({quoted}) GROUP BY ALL),
+tot AS (SELECT lang, sum(n_words) AS words, {", ".join(f"sum(k{i}) AS s{i}" for i in kinds)} FROM f GROUP BY lang),
+ref AS (SELECT lang AS key, words, {", ".join(f"s{i} / (s0 + s1 + s2 + s3 + s4) AS q{i}" for i in kinds)} FROM tot WHERE words >= {GUARD_LANGUAGE} AND lang IS NOT NULL
+    UNION ALL SELECT '' AS key, sum(words), {", ".join(f"sum(s{i}) / sum(s0 + s1 + s2 + s3 + s4)" for i in kinds)} FROM tot),
+rw AS (SELECT key, word, c.n / ref.words AS q FROM (SELECT lang, word, sum(n) AS n FROM c GROUP BY lang, word) c JOIN ref ON c.lang = ref.key
+    UNION ALL SELECT '' AS key, word, sum(c.n) / any_value(ref.words) FROM c JOIN ref ON ref.key = '' GROUP BY word),
+ro AS (SELECT key, sum(q) AS q FROM rw GROUP BY key),
+k AS (SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM ref WHERE ref.key = f.lang) THEN f.lang ELSE '' END AS key FROM f),
+m AS (SELECT k.rid, sum({part("(c.n / k.n_words)", "coalesce(rw.q, 0)")}) AS terms, sum(c.n) / any_value(k.n_words) AS own, sum(coalesce(rw.q, 0)) AS met
+    FROM k JOIN c ON k.rid = c.rid LEFT JOIN rw ON rw.key = k.key AND rw.word = c.word GROUP BY k.rid),
+j AS (SELECT k.*, {" + ".join(part(f"(k{i} / word_chars)", f"q{i}") for i in kinds)} AS class_terms,
+    coalesce(m.terms, 0) + (coalesce(ro.q, 0) - coalesce(m.met, 0)) + {part("(1 - coalesce(m.own, 0))", "(1 - coalesce(ro.q, 0))")} AS word_terms
+    FROM k JOIN ref ON ref.key = k.key LEFT JOIN m ON m.rid = k.rid LEFT JOIN ro ON ro.key = k.key WHERE n_words > 0),
+v AS (SELECT k.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+    coalesce(sqrt(greatest(class_terms / 2, 0)), 0) AS cd, coalesce(sqrt(greatest(word_terms / 2, 0)), 0) AS wd FROM k LEFT JOIN (SELECT rid, class_terms, word_terms FROM j) j ON j.rid = k.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND (n_words < {GUARD_CLASS} OR cd <= {MAX_CLASS}) AND (n_words < {GUARD_WORD} OR wd <= {MAX_WORD}) AS kept FROM v"""
+
+
 QUERIES = {"op4_distribution_divergence": op4_distribution_divergence}
-ORACLES: dict = {}
+ORACLES = {"op4_distribution_divergence": _oracle()}
