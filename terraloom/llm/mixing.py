@@ -3,8 +3,8 @@
 Every document of a source gets the same expected number of copies, its source's target over its source's
 size. The whole part is taken; the fractions are made whole in pairs: words move from one document's
 fraction to the other's, either way with the odds that keep both expectations, until one is whole. Words
-are preserved exactly, so a source misses its target by less than its last unpaired document. Pairing runs
-in a reduction tree: buckets first, then the buckets' single leftovers together, until one is left a source.
+are preserved exactly. Pairing runs in a reduction tree: buckets first, then the buckets' single leftovers
+together, until one group is left a source, whose very last document is drawn and offset within the group.
 """
 
 from __future__ import annotations
@@ -56,66 +56,72 @@ def _unit(seed: int, *key) -> float:
     return xxhash.xxh64_intdigest(":".join(map(str, (seed, *key))).encode()) / 2**64
 
 
+def _move(first: list, second: list, draw: float) -> None:
+    """One pivotal step on [row, fraction] pairs: words move one way or the other until a fraction is whole."""
+    (a, p), (b, q) = first, second
+    up, down = min((1 - p) * a["mass"], q * b["mass"]), min(p * a["mass"], (1 - q) * b["mass"])
+    moved = up if draw * (up + down) < down else -down
+    first[1], second[1] = (0.0 if f < 1e-9 else 1.0 if f > 1 - 1e-9 else f for f in (p + moved / a["mass"], q - moved / b["mass"]))
+    if 0 < first[1] < 1 and 0 < second[1] < 1:  # rounding alone: the step ends with one whole
+        second[1] = float(second[1] > 0.5)
+
+
+def _whole(group: list[list], seed: int) -> None:
+    """Settle a source's last group: its leftover is drawn, and what that adds or takes is offset by others.
+
+    Documents of the group change sides, largest first, wherever that brings the source nearer its target,
+    so the source misses by about its least document instead of its last one.
+    """
+    open_ = next((g for g in group if 0 < g[1] < 1), None)
+    if open_ is None:
+        return
+    row, p = open_
+    open_[1] = float(_unit(seed, "last", row["doc_id"], row["size"]) < p)
+    over = (open_[1] - p) * row["mass"]
+    for g in sorted((g for g in group if g is not open_), key=lambda g: (-g[0]["mass"], _unit(seed, "side", g[0]["doc_id"], g[0]["size"]))):
+        change = -g[0]["mass"] if g[1] == 1 else g[0]["mass"]
+        if abs(over + change) < abs(over):
+            g[1], over = 1 - g[1], over + change
+
+
 def _pivot(last: bool, level: int, seed: int):
-    """A step of the tree over rows sorted by group; each group leaves one undecided row at most."""
+    """A step of the tree over rows sorted by group; each group leaves one undecided row at most.
 
-    def step(batches):
-        group, held = None, None  # held: [row, fraction]
-        for batch in batches:
-            rows, out = batch.to_pydict(), []
-            names = list(rows)
+    Only the undecided row is held, but for the last level, whose groups have FAN_IN rows at most.
+    """
 
-            def settle(row, fraction, out=out):
-                row = dict(row)
-                row["copies"] += int(fraction > 0.5)
-                row["fraction"] = None
-                out.append(row)
+    def settled(row, fraction):
+        return dict(row) | {"copies": row["copies"] + int(fraction), "fraction": None}
 
-            def release(row, fraction, out=out, settle=settle):
-                if last:
-                    settle(row, 1.0 if _unit(seed, "last", row["doc_id"], row["size"]) < fraction else 0.0)
-                else:
-                    out.append(dict(row) | {"fraction": fraction})
-
-            for values in zip(*rows.values(), strict=True):
-                row = dict(zip(names, values, strict=True))
-                key = (row["source"], row["bucket"])
-                if key != group:
-                    if held:
-                        release(*held)
-                    group, held = key, None
-                q, mass = row["fraction"], row["mass"]
-                if mass == 0:
-                    settle(row, 1.0 if _unit(seed, "none", row["doc_id"], row["source"]) < q else 0.0)
-                    continue
-                if held is None:
-                    if q <= 0:
-                        settle(row, 0.0)
-                    else:
-                        held = [row, q]
+    def finished(held, group):
+        if last:
+            _whole(group, seed)
+            return [settled(*g) for g in group]
+        return [dict(held[0]) | {"fraction": held[1]}] if held else []
+
+    def step(batches):
+        key, held, group, schema = None, None, [], None
+        for batch in batches:
+            out, schema = [], batch.schema
+            for row in batch.to_pylist():
+                if (row["source"], row["bucket"]) != key:
+                    out += finished(held, group)
+                    key, held, group = (row["source"], row["bucket"]), None, []
+                if row["mass"] == 0:
+                    out.append(settled(row, _unit(seed, "none", row["doc_id"], row["source"]) < row["fraction"]))
                     continue
-                first, p = held
-                up, down = min((1 - p) * first["mass"], q * mass), min(p * first["mass"], (1 - q) * mass)
-                moved = up if _unit(seed, level, first["doc_id"], row["doc_id"], row["size"]) * (up + down) < down else -down
-                p, q = p + moved / first["mass"], q - moved / mass
-                open_ = []
-                for each, f in ((first, p), (row, q)):
-                    if f < 1e-9 or f > 1 - 1e-9:
-                        settle(each, f)
-                    else:
-                        open_.append([each, f])
-                held = open_[0] if open_ else None
-                if len(open_) > 1:  # rounding alone: the step ends with one whole
-                    settle(row, 1.0 if q > 0.5 else 0.0)
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-        if held:
-            out = []
-            row, fraction = held
-            if last:
-                row["copies"] += int(_unit(seed, "last", row["doc_id"], row["size"]) < fraction)
-                fraction = None
-            row["fraction"] = fraction
-            yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+                now = [row, row["fraction"]]
+                if last:
+                    group.append(now)
+                pair = [g for g in (held, now) if g and 0 < g[1] < 1]
+                if len(pair) == 2:
+                    _move(*pair, _unit(seed, level, pair[0][0]["doc_id"], row["doc_id"], row["size"]))
+                if not last:
+                    out += [settled(*g) for g in (held, now) if g and g[1] in (0, 1)]
+                held = next((g for g in pair if 0 < g[1] < 1), None)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_pylist(finished(held, group), schema=schema)
 
     return step
 
