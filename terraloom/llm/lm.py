@@ -30,12 +30,14 @@ from terraloom.llm import common
 FOLDS, HELD_OUT = 7, 2
 #: Most words whose counts are sent to every task, and their least count: rarer ones stand for the unseen.
 TABLE, LEAST = 400_000, 4
-HEAD_CLASSES, MEMBERS, COUNT_CLASSES = 32, 16, 7
+HEAD_CLASSES, MEMBERS, COUNT_CLASSES = 24, 16, 7
 #: Hash buckets of each context feature for classes, and of the word before for members.
 BUCKETS, MEMBER_BUCKETS = 4096, 2048
 ROUNDS, RATE, PRIOR = 2, 0.5, 30.0
 #: Documents of a numpy batch; parameter rows of a block; blocks added up at once.
 BATCH_DOCS, BLOCK, FAN_IN = 1000, 512, 64
+#: Tokens whose softmax is taken at once; their rows fit a core's cache.
+SLICE = 1 << 15
 
 CLASSES = HEAD_CLASSES + COUNT_CLASSES + 1
 RARE = CLASSES - 1
@@ -66,7 +68,7 @@ def tokens(texts: pa.Array) -> Words:
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = split.flatten().dictionary_encode()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(w, 0) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    hashes = [digest(w, 0) for w in coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
     distinct = np.array([*hashes, END], np.uint64)
     index = coded.indices.to_numpy().astype(np.int64)
     bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -219,8 +221,8 @@ def _gather(docs: DataFrame, lex, weights) -> DataFrame:
                     key = few[some].astype(np.int64) * (HEAD_CLASSES * MEMBERS) + member[some]
                     members += np.bincount(key, minlength=members.size).reshape(members.shape)
                     continue
-                for at in range(0, len(w.index), 1 << 17):
-                    part = slice(at, at + (1 << 17))
+                for at in range(0, len(w.index), SLICE):
+                    part = slice(at, at + SLICE)
                     p = _class_p(lexicon_, fitted, features[:, part])
                     for k in range(3):
                         _add_rows(classes[k], features[k, part], p)
@@ -308,8 +310,8 @@ def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFram
                 at, known, cls, member = _labels(lexicon_, w)
                 here = known[w.index]
                 p = np.zeros(len(w.index))
-                for a in range(0, len(w.index), 1 << 17):
-                    part = slice(a, a + (1 << 17))
+                for a in range(0, len(w.index), SLICE):
+                    part = slice(a, a + SLICE)
                     n = len(w.index[part])
                     p[part] = np.log10(_class_p(lexicon_, weights, features[:, part])[np.arange(n), cls[part]].astype(np.float64))
                 share = np.where(known, lexicon_.share[at], 0.0)[w.index]

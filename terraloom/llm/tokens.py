@@ -89,7 +89,7 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _ENDING, r"\1 \2\3"))
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        index = self._indices(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        index = self._indices(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         start, size, flat = (np.frombuffer(a, t) if len(a) else np.zeros(0, t) for a, t in ((self.start, np.int64), (self.size, np.int64), (self.flat, np.uint32)))
         sizes = size[index] if len(index) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
