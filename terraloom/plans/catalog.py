@@ -172,14 +172,14 @@ def mean_metrics(spark, sf):
     return s.select(*(F.round(c, 9).alias(c) for c in s.columns))
 
 
-@query(f"""WITH {DEM}, a AS (SELECT "row", col, cls % 4 AS v FROM dem), b AS (SELECT "row", col, CAST(floor(v / 1000) AS INTEGER) % 4 AS v FROM dem WHERE "row" < 15 AND col < 60),
+@query(f"""WITH {DEM}, a AS (SELECT "row", col, cls % 4 AS v FROM dem), b AS (SELECT "row", col, CAST(floor(v / 1000) AS INTEGER) % 4 AS v FROM dem),
 o AS (SELECT a.v AS ref, b.v AS pred FROM b JOIN a ON a."row" = CAST(floor(b."row" * 2 + 1.0 + 0.5) AS INTEGER) AND a.col = CAST(floor(b.col * 2 + 1.0 + 2.5) AS INTEGER)),
 d AS (SELECT r.ref, p.pred FROM (SELECT unnest(range(4)) AS ref) r, (SELECT unnest(range(4)) AS pred) p)
 SELECT CAST(d.ref AS INTEGER) AS ref, CAST(d.pred AS INTEGER) AS pred, count(o.ref) AS n FROM d LEFT JOIN o ON d.ref = o.ref AND d.pred = o.pred GROUP BY 1, 2""")
 def overlap_confusion(spark, sf):
     d = proxies.dem(spark, sf)
     ref = d.select("row", "col", (F.col("cls") % 4).alias("v"))
-    pred = d.filter("row < 15 and col < 60").select("row", "col", (F.floor(F.col("v") / 1000).cast("int") % 4).alias("v"))
+    pred = d.select("row", "col", (F.floor(F.col("v") / 1000).cast("int") % 4).alias("v"))
     return evaluate.confusion(align.overlap(ref, pred, (0.0, 100.0, 1.0), (2.5, 99.5, 2.0)), 4)
 
 
@@ -196,12 +196,13 @@ def mosaic_first(spark, sf):
     return align.mosaic(first.unionByName(shifted))
 
 
-_UNEQUAL = """a AS (SELECT "row", col, v AS left_v FROM dem WHERE "row" < 10), b AS (SELECT "row", col, cls AS right_v FROM dem WHERE col < 7)"""
+_UNEQUAL = """a AS (SELECT "row", col, v AS left_v FROM dem), b AS (SELECT col AS "row", "row" AS col, cls AS right_v FROM dem)"""
 
 
 def _unequal(spark, sf):
+    """A raster and another's classes, turned on its side."""
     d = proxies.dem(spark, sf)
-    return d.filter("row < 10").select("row", "col", F.col("v").alias("left_v")), d.filter("col < 7").select("row", "col", F.col("cls").alias("right_v"))
+    return d.select("row", "col", F.col("v").alias("left_v")), d.select(F.col("col").alias("row"), F.col("row").alias("col"), F.col("cls").alias("right_v"))
 
 
 @query(f'WITH {DEM}, {_UNEQUAL} SELECT coalesce(a."row", b."row") AS "row", coalesce(a.col, b.col) AS col, left_v, coalesce(right_v, 255) AS right_v FROM a FULL JOIN b ON a."row" = b."row" AND a.col = b.col')
@@ -262,18 +263,22 @@ def zonal_slope_best_fit_plane(spark, sf):
     return zonal.zonal_slope(_slopes(spark, sf), 5, "best_fit_plane").withColumn("slope", F.round("slope", 6))
 
 
-_BOXES = """box AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.25 + i * 2.5 AS minx, 0.25 + j * 2.5 AS miny, 2.75 + i * 2.5 AS maxx, 2.75 + j * 2.5 AS maxy FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(6)) AS j)),
+_BOXES = """box AS (SELECT DISTINCT CAST(floor(col / 2.5) AS INTEGER) AS i, CAST(floor("row" / 2.5) AS INTEGER) AS j, 0.25 + CAST(floor(col / 2.5) AS DOUBLE) * 2.5 AS minx, 0.25 + CAST(floor("row" / 2.5) AS DOUBLE) * 2.5 AS miny,
+    2.75 + CAST(floor(col / 2.5) AS DOUBLE) * 2.5 AS maxx, 2.75 + CAST(floor("row" / 2.5) AS DOUBLE) * 2.5 AS maxy FROM dem),
 zm AS (SELECT i, j, sum((least(maxx, col + 1) - greatest(minx, col)) * (least(maxy, "row" + 1) - greatest(miny, "row")) * v) / sum((least(maxx, col + 1) - greatest(minx, col)) * (least(maxy, "row" + 1) - greatest(miny, "row"))) AS mean
     FROM box JOIN dem ON col + 1 > minx AND col < maxx AND "row" + 1 > miny AND "row" < maxy GROUP BY i, j)"""
 
 
-def _boxes(spark):
-    return zonal.grid(spark, 0.25, 0.25, 20.26, 15.26, 2.5)
+def _boxes(spark, sf):
+    """Boxes of two and a half pixels over the whole raster, a quarter pixel off its edges."""
+    at = proxies.dem(spark, sf).select(F.floor(F.col("col") / 2.5).cast("int").alias("i"), F.floor(F.col("row") / 2.5).cast("int").alias("j")).distinct()
+    edge = lambda c, first: first + F.col(c) * 2.5
+    return at.select("i", "j", edge("i", 0.25).alias("minx"), edge("j", 0.25).alias("miny"), edge("i", 2.75).alias("maxx"), edge("j", 2.75).alias("maxy"))
 
 
 @query(f"WITH {DEM}, {_BOXES} SELECT box.i, box.j, round(mean, 6) AS mean FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j")
 def zonal_weighted_mean(spark, sf):
-    return zonal.weighted_mean(_boxes(spark), proxies.dem(spark, sf)).select("i", "j", F.round("mean", 6).alias("mean"))
+    return zonal.weighted_mean(_boxes(spark, sf), proxies.dem(spark, sf)).select("i", "j", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH {DEM}, {_BOXES}, im AS (SELECT box.i, box.j, coalesce(mean, 0.0) / 100 / 1200 AS imp FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j),
@@ -281,7 +286,7 @@ sl AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INT
 b AS (SELECT sl.i, sl.j, slope, coalesce(imp, 0.0) AS imp, (slope - min(slope) OVER ()) / nullif(max(slope) OVER () - min(slope) OVER (), 0) AS ns FROM sl LEFT JOIN im ON sl.i = im.i AND sl.j = im.j)
 SELECT i, j, round(imp, 6) AS imperviousness, round(ns, 6) AS normalized_slope, round((1 - imp) * 0.6 + (1 - ns) * 0.4, 6) AS infiltration_index FROM b""")
 def infiltration_index(spark, sf):
-    imp = zonal.weighted_mean(_boxes(spark), proxies.dem(spark, sf)).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
+    imp = zonal.weighted_mean(_boxes(spark, sf), proxies.dem(spark, sf)).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
     s = zonal.zonal_slope(_slopes(spark, sf), 5, "slope_std_dev").join(imp, ["i", "j"], "left").fillna(0.0, ["imp"])
     s = zonal.min_max(s, "slope", "ns")
     index = px.infiltration("imp", "ns", 0.6)
@@ -333,10 +338,10 @@ def snapshots_inclusive(spark, sf):
     return s.select(F.col("snapshot").cast("timestamp").alias("snapshot"))
 
 
-@query("""WITH t AS (SELECT DISTINCT user_id AS tile FROM events WHERE user_id % 10 = 0), s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR)) AS snapshot)
+@query("""WITH t AS (SELECT DISTINCT user_id AS tile FROM events), s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR)) AS snapshot)
 SELECT tile, strftime(snapshot, '%Y-%m-%dT%H:%M:%S') AS snapshot FROM t, s""")
 def snapshot_fanout(spark, sf):
-    tiles = load(spark, sf, "events").filter("user_id % 10 = 0").select(F.col("user_id").alias("tile")).distinct()
+    tiles = load(spark, sf, "events").select(F.col("user_id").alias("tile")).distinct()
     out = timegen.fan_out(tiles, timegen.snapshots(spark, datetime(2024, 1, 1), datetime(2024, 1, 2), 6))
     return out.select("tile", F.date_format("snapshot", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot"))
 
