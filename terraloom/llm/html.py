@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 512, 64, 6, 16
+PATH_DIMS, WORD_DIMS, SHAPE_DIMS, HIDDEN = 4096, 64, 6, 16
 #: The training set's bound, passes over it, and its seed.
-TRAIN_PAGES, EPOCHS, SEED = 600, 8, 42
+TRAIN_PAGES, EPOCHS, SEED = 800, 8, 42
 #: Blocks scored at once: pages are batched by length up to this many, a longer page alone.
 BATCH_BLOCKS = 16_384
 
@@ -128,25 +129,63 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
 
 @lru_cache(50_000)
-def _path_bins(path: tuple) -> tuple[int, ...]:
-    """Bins of a path: every name of every element, and the innermost elements' names apart."""
-    bins = {crc32(n.encode()) % PATH_DIMS for names in path for n in names}
+def _path_bins(path: tuple) -> np.ndarray:
+    """Bins of a path: every name of every element, and the innermost elements' names apart; one at least."""
+    bins = {0, *(crc32(n.encode()) % PATH_DIMS for names in path for n in names)}
     for depth, names in enumerate(reversed(path[-2:])):
         bins |= {crc32(f"{depth}{n}".encode()) % PATH_DIMS for n in names}
-    return tuple(bins)
+    return np.array(sorted(bins), np.int32)
 
 
-def vectors(found: list) -> np.ndarray:
-    """One row a block: path bag, word bag (by length), shape."""
-    x = np.zeros((len(found), PATH_DIMS + WORD_DIMS + SHAPE_DIMS), np.float32)
-    for i, (path, text, linked) in enumerate(found):
-        x[i, list(_path_bins(path))] = 1
+@dataclass
+class Page:
+    """A page's blocks as the network reads them: bins of each path, and word bag and shape as dense rows."""
+
+    bins: list
+    dense: np.ndarray
+
+    def __len__(self):
+        return len(self.bins)
+
+
+def vectors(found: list) -> Page:
+    x = np.zeros((len(found), WORD_DIMS + SHAPE_DIMS), np.float32)
+    for i, (_, text, linked) in enumerate(found):
         words = text.lower().split()
         bag = np.bincount([crc32(w.encode("utf-8", "replace")) % WORD_DIMS for w in words], minlength=WORD_DIMS)
-        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = bag / np.sqrt(len(words))
         n = len(words)
-        x[i, PATH_DIMS + WORD_DIMS :] = (np.log1p(n) / 4, np.log1p(len(text)) / 6, linked, text[-1] in ".!?:;\"'…", i / max(1, len(found) - 1), n <= 3)
-    return x
+        x[i, :WORD_DIMS] = bag / np.sqrt(n)
+        x[i, WORD_DIMS:] = (np.log1p(n) / 4, np.log1p(len(text)) / 6, linked, text[-1] in ".!?:;\"'…", i / max(1, len(found) - 1), n <= 3)
+    return Page([_path_bins(path) for path, _, _ in found], x)
+
+
+class Batch:
+    """Pages side by side, padded to the longest; only real blocks are held, with their places."""
+
+    def __init__(self, pages: list[Page]):
+        self.shape = len(pages), max(map(len, pages))
+        self.bins = np.concatenate([b for p in pages for b in p.bins])
+        self.counts = np.array([len(b) for p in pages for b in p.bins])
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.dense = np.concatenate([p.dense for p in pages])
+        self.at = np.concatenate([i * self.shape[1] + np.arange(len(p)) for i, p in enumerate(pages)])
+        self.mask = np.zeros(self.shape, np.float32)
+        self.mask.reshape(-1)[self.at] = 1
+
+    def project(self, w: np.ndarray) -> np.ndarray:
+        rows = self.dense @ w[PATH_DIMS:] + np.add.reduceat(w[self.bins], self.starts, axis=0)
+        out = np.zeros((self.shape[0] * self.shape[1], w.shape[1]), rows.dtype)
+        out[self.at] = rows
+        return out.reshape(*self.shape, -1)
+
+    def gradient(self, w: np.ndarray, dz: np.ndarray) -> np.ndarray:
+        rows, g = dz.reshape(-1, w.shape[1])[self.at], np.zeros_like(w)
+        g[PATH_DIMS:] = self.dense.T @ rows
+        order = np.argsort(self.bins, kind="stable")
+        bins = self.bins[order]
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        g[bins[first]] = np.add.reduceat(np.repeat(rows, self.counts, axis=0)[order], first, axis=0)
+        return g
 
 
 # --- the network -----------------------------------------------------------------------------------------
@@ -168,11 +207,10 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(w: dict, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+def _run(w: dict, x: Batch, way: str) -> tuple[np.ndarray, list]:
     """Hidden states (pages, blocks, HIDDEN) one way; past a page's end the state stays at zero."""
-    b, t, _ = x.shape
-    pre = x.reshape(b * t, -1) @ w["x" + way] + w["c" + way]
-    pre = pre.reshape(b, t, -1)
+    (b, t), mask = x.shape, x.mask
+    pre = x.project(w["x" + way]) + w["c" + way]
     h, c, out, tape = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.zeros((b, t, HIDDEN), np.float32), []
     for k in range(t) if way == "f" else range(t - 1, -1, -1):
         z = pre[:, k] + h @ w["h" + way]
@@ -187,22 +225,22 @@ def _run(w: dict, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray
     return out, tape
 
 
-def logits(w: dict, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    both = np.concatenate([_run(w, x, mask, way)[0] for way in "fb"], axis=2)
+def logits(w: dict, x: Batch) -> np.ndarray:
+    both = np.concatenate([_run(w, x, way)[0] for way in "fb"], axis=2)
     return (both @ w["o"] + w["d"])[..., 0]
 
 
-def _gradients(w: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    runs = {way: _run(w, x, mask, way) for way in "fb"}
+def _gradients(w: dict, x: Batch, y: np.ndarray) -> dict[str, np.ndarray]:
+    runs, mask = {way: _run(w, x, way) for way in "fb"}, x.mask
     both = np.concatenate([runs[way][0] for way in "fb"], axis=2)
     d = (_sigmoid((both @ w["o"] + w["d"])[..., 0]) - y) * mask / mask.sum()
     grads = {"o": np.einsum("bth,bt->h", both, d)[:, None], "d": d.sum(keepdims=True).reshape(1)}
     back = d[..., None] * w["o"][:, 0]
-    flat = x.reshape(-1, x.shape[2])
+    pages = x.shape[0]
     for n, way in enumerate("fb"):
         dh_out = back[..., n * HIDDEN : (n + 1) * HIDDEN]
-        dz_all, gh = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32), np.zeros_like(w["h" + way])
-        dh, dc = np.zeros((len(x), HIDDEN), np.float32), np.zeros((len(x), HIDDEN), np.float32)
+        dz_all, gh = np.zeros((*x.shape, 4 * HIDDEN), w["o"].dtype), np.zeros_like(w["h" + way])
+        dh, dc = np.zeros((pages, HIDDEN), w["o"].dtype), np.zeros((pages, HIDDEN), w["o"].dtype)
         for k, h, c, i, f, o, g, now in reversed(runs[way][1]):
             m = mask[:, k, None]
             dh = (dh + dh_out[:, k]) * m
@@ -212,19 +250,10 @@ def _gradients(w: dict, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[
             dz_all[:, k] = dz
             gh += h.T @ dz
             dh, dc = dz @ w["h" + way].T, dc * f
-        flat_dz = dz_all.reshape(-1, 4 * HIDDEN)
-        grads["x" + way], grads["h" + way], grads["c" + way] = flat.T @ flat_dz, gh, flat_dz.sum(axis=0)
+        grads["x" + way], grads["h" + way], grads["c" + way] = x.gradient(w["x" + way], dz_all), gh, dz_all.sum(axis=(0, 1))
     return grads
 
 
-def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    t = max(map(len, pages))
-    x, mask = np.zeros((len(pages), t, pages[0].shape[1]), np.float32), np.zeros((len(pages), t), np.float32)
-    for i, p in enumerate(pages):
-        x[i, : len(p)], mask[i, : len(p)] = p, 1
-    return x, mask
-
-
 def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Weights fitted on `pages` composed pages by Adam, deterministic in its arguments."""
     from terraloom.llm.html_pages import compose
@@ -235,15 +264,15 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> d
         page, labels = compose(rng)
         found = blocks(page)
         y = np.array([labels.get(text, 0.0) for _, text, _ in found], np.float32)
-        data.append((vectors(found), y))
+        if found:
+            data.append((vectors(found), y))
     data.sort(key=lambda d: len(d[0]))
     batches = []
     for lo in range(0, len(data), 25):
-        x, mask = _padded([d[0] for d in data[lo : lo + 25]])
-        y = np.zeros(mask.shape, np.float32)
-        for i, d in enumerate(data[lo : lo + 25]):
-            y[i, : len(d[1])] = d[1]
-        batches.append((x, y, mask))
+        x = Batch([d[0] for d in data[lo : lo + 25]])
+        y = np.zeros(x.shape, np.float32)
+        y.reshape(-1)[x.at] = np.concatenate([d[1] for d in data[lo : lo + 25]])
+        batches.append((x, y))
     w = _weights(seed)
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for _ in range(epochs):
@@ -272,8 +301,7 @@ def label(w: dict, pages: list[list]) -> list[np.ndarray]:
         hi = lo + 1
         while hi < len(order) and (hi + 1 - lo) * len(pages[order[hi]]) <= BATCH_BLOCKS:
             hi += 1
-        x, mask = _padded([vectors(pages[i]) for i in order[lo:hi]])
-        found = logits(w, x, mask) > 0
+        found = logits(w, Batch([vectors(pages[i]) for i in order[lo:hi]])) > 0
         for row, i in enumerate(order[lo:hi]):
             out[i] = found[row, : len(pages[i])]
         lo = hi

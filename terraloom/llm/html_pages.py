@@ -84,7 +84,7 @@ class _Page:
             inner = _pick(rng, PARTS[kind]) if kind == "comments" else ""
             out += [f"<div{inner}><p>{self.leaf(_sentences(rng, int(rng.integers(1, 6))), False)}</p></div>" for _ in range(n)]
         elif shape < 0.55:
-            out.append(self.leaf(_words(rng, 2, 30, says) + ".", False))
+            out.append(self.leaf(_words(rng, 2, 30, says) + "." if rng.random() < 0.5 else _sentences(rng, int(rng.integers(1, 5))), False))
         else:
             out += [f"<p>{self.leaf(_words(rng, 2, 14, says), False)}</p>" for _ in range(n)]
         return f"<{tag}{mark}>{''.join(out)}</{tag}>"
@@ -96,17 +96,19 @@ class _Page:
             out.append(f"<h1>{self.leaf(_words(rng, 1, 14), True)}</h1>")
         for _ in range(int(rng.integers(1, 12) if rng.random() < 0.85 else rng.integers(12, 90))):
             r = rng.random()
-            if r < 0.7:
+            if r < 0.66:
                 body = self.leaf(_sentences(rng, int(rng.integers(1, 7))), True)
                 out.append(f"<p><b>{body}<br>{end}" if r < 0.12 else f"<p>{body}{end}")
-            elif r < 0.78:
+            elif r < 0.74:
                 out.append(f"<h{rng.integers(2, 5)}>{self.leaf(_words(rng, 1, 8), True)}</h2>".replace("</h2>", ""))
                 out[-1] += f"</h{out[-1][2]}>"
-            elif r < 0.86:
+            elif r < 0.81:
                 out.append("<ul>" + "".join(f"<li>{self.leaf(_words(rng, 1, 20), True)}</li>" for _ in range(int(rng.integers(1, 5)))) + "</ul>")
-            elif r < 0.9:
+            elif r < 0.84:
                 out.append(f"<blockquote><p>{self.leaf(_sentences(rng, 2), True)}</p></blockquote>")
-            elif r < 0.93:
+            elif r < 0.87:  # text of the main part itself, set apart by a division
+                out.append(f"<div></div>{self.leaf(_sentences(rng, int(rng.integers(1, 5))), True)}<div></div>")
+            elif r < 0.89:
                 out.append("<table><tr>" + "".join(f"<td>{self.leaf(_words(rng, 1, 4), True)}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(self.part(str(rng.choice(["ad", "share", "aside", "notice", "form", "comments", "nav"]))))

@@ -159,14 +159,16 @@ def test_labels_on_held_out_pages():
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html._weights(1).items()}
-    x, mask = rng.random((2, 5, html.PATH_DIMS + html.WORD_DIMS + html.SHAPE_DIMS)) * 0.2, np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0]], float)
+    pages = [html.vectors([((("div", ".a"), ("p",)), f"Some words {i} {k}.", 0.1 * k) for k in range(n)]) for i, n in enumerate((5, 3))]
+    x = html.Batch(pages)
+    x.dense = x.dense.astype(float)
     y = rng.integers(0, 2, (2, 5)).astype(float)
 
     def loss():
-        z = html.logits(w, x, mask)
-        return ((np.logaddexp(0, z) - y * z) * mask).sum() / mask.sum()
+        z = html.logits(w, x)
+        return ((np.logaddexp(0, z) - y * z) * x.mask).sum() / x.mask.sum()
 
-    grads = html._gradients(w, x, y, mask)
+    grads = html._gradients(w, x, y)
     for k in w:
         at = np.unravel_index(np.argmax(np.abs(grads[k])), w[k].shape)
         keep = w[k][at]
