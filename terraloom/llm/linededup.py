@@ -20,7 +20,7 @@ from terraloom.llm import common
 
 MIN_WORDS = 50
 #: Buckets of the first numbering, each with a 4096th of the distinct lines, and blocks of later ones.
-BUCKET_BITS, BLOCKS = 12, 4096
+BUCKET_BITS, BLOCKS = 12, 256
 
 
 def lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
