@@ -154,7 +154,7 @@ def vectors(found: list) -> Page:
         words = text.lower().split()
         bag = np.bincount([crc32(w.encode("utf-8", "replace")) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         n = len(words)
-        x[i, :WORD_DIMS] = bag / np.sqrt(n)
+        x[i, :WORD_DIMS] = bag / np.linalg.norm(bag)
         x[i, WORD_DIMS:] = (np.log1p(n) / 4, np.log1p(len(text)) / 6, linked, text[-1] in ".!?:;\"'…", i / max(1, len(found) - 1), n <= 3)
     return Page([_path_bins(path) for path, _, _ in found], x)
 
