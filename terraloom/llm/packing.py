@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import common, tokens
 
-CAPACITY, END_ID, GROUPS, BUCKETS = 4096, 1, 64, 256
+CAPACITY, END_ID, GROUPS = 4096, 1, 64
+#: Turns that pieces take in each task; ranks of one length are counted over as many buckets of turns as keep
+#: a bucket near BUCKET_ROWS, within these bounds.
+TURNS, LEAST_BUCKETS, BUCKET_ROWS = 65_536, 256, 1_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -47,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
                 base = (bounds[:-1] + np.arange(len(n)))[row] + start
                 for i, (a, m) in enumerate(zip(base.tolist(), length.tolist(), strict=True)):
                     crc[i] = zlib.crc32(ended[a : a + m].tobytes())
-                cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array((turn + np.arange(len(row))) % BUCKETS, pa.int32())]
+                cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array((turn + np.arange(len(row))) % TURNS, pa.int32())]
                 turn += len(row)
                 if keep_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ended.astype(np.int32))))
@@ -207,6 +210,8 @@ def place(rows: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     share still goes to many tasks. Only the histogram (at most `capacity` entries) reaches the driver.
     """
     spark = rows.sparkSession
+    buckets = min(TURNS, max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("bucket", F.col("bucket") % buckets)
     each = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in each.groupBy("length").agg(F.sum("n")).collect()}
     intervals, _ = plan(histogram, capacity, groups)
