@@ -33,17 +33,29 @@ _PARTS = list(PARTS)
 _SYLLABLES = "an be co da el fi go hu in ja ko le mi no or pa qu re sa ti un ve wi xo ye zu sch ein ción eau ère ño ß ü th er ing ed ly".split()
 
 
+def _pool(n: int = 6000, seed: int = 7) -> list[str]:
+    rng = np.random.default_rng(seed)
+    return ["".join(_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), k)) for k in rng.integers(1, 5, n)]
+
+
+_POOL = _pool()
+
+
 def _word(rng: np.random.Generator) -> str:
-    return "".join(rng.choice(_SYLLABLES, rng.integers(1, 4)))
+    return _POOL[int(rng.integers(len(_POOL)))]
 
 
 def _words(rng: np.random.Generator, low: int, high: int, says: list[str] = ()) -> str:
-    out = [str(rng.choice(says)) if len(says) and rng.random() < 0.35 else _word(rng) for _ in range(int(rng.integers(low, high + 1)))]
+    n = int(rng.integers(low, high + 1))
+    out = [_POOL[i] for i in rng.integers(0, len(_POOL), n)]
+    if says:
+        for i in np.flatnonzero(rng.random(n) < 0.35):
+            out[i] = says[int(rng.integers(len(says)))]
     return " ".join(out)
 
 
 def _sentences(rng: np.random.Generator, n: int) -> str:
-    return " ".join(_words(rng, 1, 18).capitalize() + rng.choice([".", ".", ".", "?", "!"]) for _ in range(n))
+    return " ".join(_words(rng, 1, 18).capitalize() + "...?!"[int(rng.integers(5))] for _ in range(n))
 
 
 def _pick(rng: np.random.Generator, words: list[str]) -> str:
