@@ -100,17 +100,17 @@ def classify_heights(h, mask, low: float, medium: float) -> Column:
     return F.when(col(mask), F.when(h < low, 0).when(h < medium, 1).when(h >= medium, 2))
 
 
-def vegetation_map(cls, h, mask, flair, lidar=(0.30, 5.0), image=(0.75, 5.0), modify_flair: bool = True, keep_class1: bool = False) -> tuple[Column, Column]:
-    """(LiDAR map, image map). Without modify_flair the image map passes through unchanged."""
+def vegetation_map(cls, h, mask, image_map, lidar=(0.30, 5.0), image=(0.75, 5.0), modify_image_map: bool = True, keep_class1: bool = False) -> tuple[Column, Column]:
+    """(LiDAR map, image map). Without modify_image_map the image map passes through unchanged."""
     veg = vegetation_mask(cls)
     first = veg | class1_mask(cls, mask) if keep_class1 else veg
-    second = classify_heights(h, first, *image) if modify_flair else col(flair)
+    second = classify_heights(h, first, *image) if modify_image_map else col(image_map)
     return classify_heights(h, first, *lidar), second
 
 
-def fuse(lidar, flair, everywhere: bool = True) -> Column:
+def fuse(lidar, image_map, everywhere: bool = True) -> Column:
     """LiDAR where it has a stratum, else the image map: everywhere, or only where that is herbaceous."""
-    rest = col(flair) if everywhere else F.when(col(flair) == 0, col(flair))
+    rest = col(image_map) if everywhere else F.when(col(image_map) == 0, col(image_map))
     return F.when(col(lidar).isin(0, 1, 2), col(lidar)).otherwise(rest)
 
 
@@ -127,8 +127,8 @@ def legacy_class(h) -> Column:
     return F.when((h >= 0.5) & (h < 1.5), 1).when((h >= 1.5) & (h < 5), 2).when((h >= 5) & (h < 15), 3).when(h >= 15, 4)
 
 
-def legacy_fuse(lidar, flair) -> Column:
-    return F.coalesce(remap(lidar, {1: 1, 2: 1, 3: 2, 4: 3}), remap(flair, {0: 0, 1: 1, 2: 2, 3: 3}))
+def legacy_fuse(lidar, image_map) -> Column:
+    return F.coalesce(remap(lidar, {1: 1, 2: 1, 3: 2, 4: 3}), remap(image_map, {0: 0, 1: 1, 2: 2, 3: 3}))
 
 
 def zero_missing(v) -> Column:

@@ -85,54 +85,54 @@ SELECT vec_id, band, CASE band {cases} ELSE {settings.IGNORE} END AS cls FROM b"
 for _set in settings.WEIGHT_SETS:
     _reweighted(_set)
 
-_FLAIR = f"""flair AS (SELECT "row", col, vec_id, CASE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 WHEN 4 THEN 255 ELSE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 END AS flair FROM prob),
-both_ AS (SELECT ras.*, flair.flair, {_HEIGHT} AS h FROM ras JOIN flair ON ras."row" = flair."row" AND ras.col = flair.col)"""
+_IMAGE_MAP = f"""image_map AS (SELECT "row", col, vec_id, CASE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 WHEN 4 THEN 255 ELSE CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) % 5 END AS image_map FROM prob),
+both_ AS (SELECT ras.*, image_map.image_map, {_HEIGHT} AS h FROM ras JOIN image_map ON ras."row" = image_map."row" AND ras.col = image_map.col)"""
 
 
 def _both(spark, sf):
     """Point pixels joined with an image map of classes 0..3 and 255."""
     band = px.argmax("probs") % 5
-    flair = proxies.probabilities(spark, sf).select("row", "col", F.when(band == 4, 255).otherwise(band).alias("flair"))
-    return points.strata(proxies.raster(spark, sf), LOW, MEDIUM).drop("stratum").join(flair, ["row", "col"])
+    image_map = proxies.probabilities(spark, sf).select("row", "col", F.when(band == 4, 255).otherwise(band).alias("image_map"))
+    return points.strata(proxies.raster(spark, sf), LOW, MEDIUM).drop("stratum").join(image_map, ["row", "col"])
 
 
 def _fused(everywhere, modify):
     def run(spark, sf):
         b = _both(spark, sf)
-        lidar, flair = px.vegetation_map("cls", "height", "flair", "flair", (LOW, MEDIUM), (LOW / 2, MEDIUM / 2), modify, keep_class1=True)
-        b = b.withColumns({"lidar": lidar, "image": flair})
+        lidar, image_map = px.vegetation_map("cls", "height", "image_map", "image_map", (LOW, MEDIUM), (LOW / 2, MEDIUM / 2), modify, keep_class1=True)
+        b = b.withColumns({"lidar": lidar, "image": image_map})
         return b.select("row", "col", "lidar", "image", px.three_to_two("image").alias("image2"), px.fuse("lidar", "image", everywhere).alias("fused"))
 
-    mask = "(cls IN (3, 4, 5, 8) OR (cls = 1 AND flair <> 255))"
-    image = _stratum("h", mask, LOW / 2, MEDIUM / 2) if modify else "flair"
+    mask = "(cls IN (3, 4, 5, 8) OR (cls = 1 AND image_map <> 255))"
+    image = _stratum("h", mask, LOW / 2, MEDIUM / 2) if modify else "image_map"
     rest = "image" if everywhere else "CASE WHEN image = 0 THEN image END"
-    return run, f"""WITH {POINTS}, {PROB}, {_FLAIR}, m AS (SELECT "row", col, {_stratum("h", mask)} AS lidar, {image} AS image FROM both_)
+    return run, f"""WITH {POINTS}, {PROB}, {_IMAGE_MAP}, m AS (SELECT "row", col, {_stratum("h", mask)} AS lidar, {image} AS image FROM both_)
 SELECT "row", col, lidar, image, CASE WHEN image = 3 THEN 2 ELSE image END AS image2, CASE WHEN lidar IN (0, 1, 2) THEN lidar ELSE {rest} END AS fused FROM m"""
 
 
-for _name, _everywhere, _modify in (("fusion_lidar_priority", True, False), ("fusion_herbaceous_only", False, False), ("fusion_modified_flair", True, True)):
+for _name, _everywhere, _modify in (("fusion_lidar_priority", True, False), ("fusion_herbaceous_only", False, False), ("fusion_modified_image_map", True, True)):
     _run, _sql = _fused(_everywhere, _modify)
     query(_sql, _name)(_run)
 
-_LEGACY = "CASE WHEN cls = 5 OR flair <> 255 THEN (CAST(dsm AS DOUBLE) - CAST(dtm AS DOUBLE)) / 5000 END"
+_LEGACY = "CASE WHEN cls = 5 OR image_map <> 255 THEN (CAST(dsm AS DOUBLE) - CAST(dtm AS DOUBLE)) / 5000 END"
 _LEGACY_CLASS = "CASE WHEN h >= 0.5 AND h < 1.5 THEN 1 WHEN h >= 1.5 AND h < 5 THEN 2 WHEN h >= 5 AND h < 15 THEN 3 WHEN h >= 15 THEN 4 END"
 
 
 def _legacy(spark, sf):
     top, ground = F.col("dsm").cast("double"), F.col("dtm").cast("double")
-    b = _both(spark, sf).withColumn("h", px.legacy_height(top, ground, "cls", "flair") / 5000)
-    return b.select("row", "col", "h", px.legacy_class("h").alias("cls"), "flair")
+    b = _both(spark, sf).withColumn("h", px.legacy_height(top, ground, "cls", "image_map") / 5000)
+    return b.select("row", "col", "h", px.legacy_class("h").alias("cls"), "image_map")
 
 
-@query(f'WITH {POINTS}, {PROB}, {_FLAIR}, l AS (SELECT "row", col, {_LEGACY} AS h, flair FROM both_) SELECT "row", col, h, {_LEGACY_CLASS} AS cls FROM l')
+@query(f'WITH {POINTS}, {PROB}, {_IMAGE_MAP}, l AS (SELECT "row", col, {_LEGACY} AS h, image_map FROM both_) SELECT "row", col, h, {_LEGACY_CLASS} AS cls FROM l')
 def legacy_height_class(spark, sf):
-    return _legacy(spark, sf).drop("flair")
+    return _legacy(spark, sf).drop("image_map")
 
 
-@query(f"""WITH {POINTS}, {PROB}, {_FLAIR}, l AS (SELECT "row", col, {_LEGACY} AS h, flair FROM both_), k AS (SELECT "row", col, {_LEGACY_CLASS} AS cls, flair FROM l)
-SELECT "row", col, coalesce(CASE cls WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 END, CASE WHEN flair IN (0, 1, 2, 3) THEN flair END) AS fused FROM k""")
+@query(f"""WITH {POINTS}, {PROB}, {_IMAGE_MAP}, l AS (SELECT "row", col, {_LEGACY} AS h, image_map FROM both_), k AS (SELECT "row", col, {_LEGACY_CLASS} AS cls, image_map FROM l)
+SELECT "row", col, coalesce(CASE cls WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 END, CASE WHEN image_map IN (0, 1, 2, 3) THEN image_map END) AS fused FROM k""")
 def legacy_fusion(spark, sf):
-    return _legacy(spark, sf).select("row", "col", px.legacy_fuse("cls", "flair").alias("fused"))
+    return _legacy(spark, sf).select("row", "col", px.legacy_fuse("cls", "image_map").alias("fused"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------

@@ -12,9 +12,9 @@ MAPPING = {8: 0, 14: 1, 12: 2, 13: 3}
 CLASS_NAMES = {0: "Grass", 1: "Bush", 2: "Tree", 3: "Other"}
 # Class weights of the three shipped parameter sets; a band without one weighs `rest`.
 WEIGHT_SETS = {
-    "baseline": {"weights": {}, "rest": 1.0, "modify_flair": False},
-    "weights_modified": {"weights": {8: 3.0, 14: 10.0}, "rest": 1.0, "modify_flair": False},
-    "weights_more_modified": {"weights": {8: 5.0, 14: 30.0, 12: 1.0, 13: 1.0}, "rest": 0.5, "modify_flair": True},
+    "baseline": {"weights": {}, "rest": 1.0, "modify_image_map": False},
+    "weights_modified": {"weights": {8: 3.0, 14: 10.0}, "rest": 1.0, "modify_image_map": False},
+    "weights_more_modified": {"weights": {8: 5.0, 14: 30.0, 12: 1.0, 13: 1.0}, "rest": 0.5, "modify_image_map": True},
 }
 
 

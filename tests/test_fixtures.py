@@ -52,27 +52,27 @@ def test_legacy_height_and_class(spark):
     assert values(f.withColumn("v", px.legacy_height("top", "ground", "cls", "mask"))) == [9, 6, None, None]
     got = values(grid(spark, "0.75 2 6 20 0.5 1.5 5 15 0.49 _").withColumn("v", px.legacy_class("v")))
     assert got == [1, 2, 3, 4, 1, 2, 3, 4, None, None]
-    f = layers(spark, lidar="1 2 3 4 _", flair="3 3 3 3 2")
-    assert values(f.withColumn("v", px.legacy_fuse("lidar", "flair"))) == [1, 1, 2, 3, 2]
+    f = layers(spark, lidar="1 2 3 4 _", image_map="3 3 3 3 2")
+    assert values(f.withColumn("v", px.legacy_fuse("lidar", "image_map"))) == [1, 1, 2, 3, 2]
 
 
 def test_vegetation_map(spark):
-    f = layers(spark, cls="5 1; 8 2", h="0.2 2; 6 10", mask="0 0; 0 255", flair="3 1; 2 0")
-    lidar, image = px.vegetation_map("cls", "h", "mask", "flair", (0.30, 5), (0.75, 5), keep_class1=True)
+    f = layers(spark, cls="5 1; 8 2", h="0.2 2; 6 10", mask="0 0; 0 255", image_map="3 1; 2 0")
+    lidar, image = px.vegetation_map("cls", "h", "mask", "image_map", (0.30, 5), (0.75, 5), keep_class1=True)
     assert values(f.withColumn("v", lidar)) == [0, 1, 2, None] and values(f.withColumn("v", image)) == [0, 1, 2, None]
-    f = layers(spark, cls="5 5; 5 5", h="0.4 1.6; 4 8", mask="0 0; 0 0", flair="0 0; 0 0")
-    lidar, image = px.vegetation_map("cls", "h", "mask", "flair", (1.5, 3.5), (0.5, 6))
+    f = layers(spark, cls="5 5; 5 5", h="0.4 1.6; 4 8", mask="0 0; 0 0", image_map="0 0; 0 0")
+    lidar, image = px.vegetation_map("cls", "h", "mask", "image_map", (1.5, 3.5), (0.5, 6))
     assert values(f.withColumn("v", lidar)) == [0, 1, 2, 2] and values(f.withColumn("v", image)) == [0, 1, 1, 2]
-    _, untouched = px.vegetation_map("cls", "h", "mask", "flair", modify_flair=False)
+    _, untouched = px.vegetation_map("cls", "h", "mask", "image_map", modify_image_map=False)
     assert values(f.withColumn("v", untouched)) == [0, 0, 0, 0]
     on = values(grid(spark, "0.3 5 0.29 _").withColumn("v", px.classify_heights("v", F.lit(True), 0.30, 5.0)))
     assert on == [1, 2, 0, None]
 
 
 def test_fuse(spark):
-    f = layers(spark, lidar="0 _; 2 _", flair="1 0; 1 2")
-    assert values(f.withColumn("v", px.fuse("lidar", "flair", everywhere=False))) == [0, 0, 2, None]
-    assert values(f.withColumn("v", px.fuse("lidar", "flair"))) == [0, 0, 2, 2]
+    f = layers(spark, lidar="0 _; 2 _", image_map="1 0; 1 2")
+    assert values(f.withColumn("v", px.fuse("lidar", "image_map", everywhere=False))) == [0, 0, 2, None]
+    assert values(f.withColumn("v", px.fuse("lidar", "image_map"))) == [0, 0, 2, 2]
 
 
 def test_fill_jacobi(spark):
