@@ -1,11 +1,15 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 A document's histograms of character classes and of common words are held against those of its language
-over the whole corpus, by Jensen-Shannon distance. Short texts, whose histograms say little, are spared.
+over the whole corpus, by Jensen-Shannon distance. Short texts, whose histograms say little, are spared. Words
+and letter case differ by language: a document without a language is held against the words of the nearest one,
+one of a language too rare for histograms against none, and both against the corpus's digits and symbols.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ COMMON_WORDS = tuple(
 CLASSES = ("lower", "upper", "digit", "symbol", "other")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Guards: texts with fewer words are spared the test of each histogram; a language with fewer words in
-#: all is held against the whole corpus instead.
+#: all has no reference of its own, and its distances are to the whole corpus.
 GUARD_CLASS, GUARD_WORD, GUARD_LANGUAGE = 50, 50, 10_000
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document.
 MAX_CLASS, MAX_WORD = 0.30, 0.42
@@ -110,41 +114,56 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
-def class_distance() -> Column:
-    terms = F.zip_with("classes", "ref_classes", lambda n, q: _part(n / F.col("word_chars"), q))
+def class_distance(of: Callable[[str], Column] = F.col) -> Column:
+    """Over the classes, or what `of` makes of a document's counts and of the reference's shares."""
+    terms = F.zip_with(of("classes"), of("ref_classes"), lambda n, q: _part(n / F.col("word_chars"), q))
     return F.when(F.col("word_chars") > 0, F.sqrt(F.greatest(_sum(terms) / 2, F.lit(0.0)))).otherwise(0.0)
 
 
-def word_distance() -> Column:
+def _any_language(classes: str) -> Column:
+    """Digits, symbols, and all the rest as one: scripts without case have their letters in `other`."""
+    at = {c: F.get(classes, F.lit(i)) for i, c in enumerate(CLASSES)}
+    return F.array(at["lower"] + at["upper"] + at["other"], at["digit"], at["symbol"])
+
+
+def word_distance(ref: Column | None = None) -> Column:
     """Over the common words and all others as one; words of the reference that the text lacks count q each."""
-    share = lambda e: F.coalesce(F.try_element_at("ref_words", e["word"]), F.lit(0.0))
+    ref = F.col("ref_words") if ref is None else ref
+    share = lambda e: F.coalesce(F.try_element_at(ref, e["word"]), F.lit(0.0))
     met = F.aggregate("common", F.lit(0.0), lambda x, e: x + share(e))
     terms = F.aggregate("common", F.lit(0.0), lambda x, e: x + _part(e["n"] / F.col("n_words"), share(e)))
     own = F.aggregate("common", F.lit(0).cast("long"), lambda x, e: x + e["n"]) / F.col("n_words")
-    of = F.aggregate(F.map_values("ref_words"), F.lit(0.0), lambda x, y: x + y)
+    of = F.aggregate(F.map_values(ref), F.lit(0.0), lambda x, y: x + y)
     total = terms + (of - met) + _part(1 - own, 1 - of)
     return F.when(F.col("n_words") > 0, F.sqrt(F.greatest(total / 2, F.lit(0.0)))).otherwise(0.0)
 
 
 def judge(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs' carried columns with the base counts, class_distance, word_distance, base_failed and kept.
+    """docs' carried columns with the base counts, class_distance, word_distance, base_failed, kept_pooled and kept.
 
-    Null and empty texts have no words and fail the base rule; null languages and rare ones are held against
-    the whole corpus; repeated rows are judged alike; an empty table gives no rows.
+    Null and empty texts have no words and fail the base rule; repeated rows are judged alike; an empty table
+    gives no rows. Distances of null languages and rare ones are to the whole corpus. kept_pooled goes by those,
+    as the query's SQL does; kept does not, but for digits and symbols.
     """
     found = common.written(features(docs, carry), "features")
     refs = common.written(references(found), "references")
     pool = refs.filter("pooled").select(F.col("ref_classes").alias("all_classes"), F.col("ref_words").alias("all_words"))
     own = refs.filter("not pooled").drop("pooled")
+    every = own.agg(F.collect_list("ref_words").alias("every_words"))  # one row, empty without languages
     if own.count() <= MAX_BROADCAST_LANGUAGES:
         own = F.broadcast(own)
-    rows = found.join(own, found.lang_ == own.ref_lang, "left").join(F.broadcast(pool), F.lit(True), "left")  # pool is one row
+    rows = found.join(own, found.lang_ == own.ref_lang, "left").join(F.broadcast(pool), F.lit(True), "left").join(F.broadcast(every), F.lit(True), "left")  # pool is one row
+    rows = rows.withColumn("own_", F.col("ref_lang").isNotNull())
     rows = rows.withColumns({"ref_classes": F.coalesce("ref_classes", "all_classes"), "ref_words": F.coalesce("ref_words", "all_words")})
     rows = rows.withColumns({"class_distance": class_distance(), "word_distance": word_distance(), "base_failed": base_failed()})
     clean = (F.col("n_words") < GUARD_CLASS) | (F.col("class_distance") <= MAX_CLASS)
     clean = clean & ((F.col("n_words") < GUARD_WORD) | (F.col("word_distance") <= MAX_WORD))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(clean, F.lit(True)))
-    return rows.drop("lang_", "ref_lang", "ref_classes", "ref_words", "all_classes", "all_words", "classes", "common")
+    nearest = F.when(F.col("lang_").isNull(), F.array_min(F.transform("every_words", word_distance)))
+    other = (F.col("n_words") < GUARD_CLASS) | (class_distance(_any_language) <= MAX_CLASS)
+    other = other & ((F.col("n_words") < GUARD_WORD) | F.coalesce(nearest <= MAX_WORD, F.lit(True)))
+    passed = {"kept_pooled": clean, "kept": F.when(F.col("own_"), clean).otherwise(other)}
+    rows = rows.withColumns({k: ~F.col("base_failed") & F.coalesce(c, F.lit(True)) for k, c in passed.items()})
+    return rows.drop("lang_", "own_", "ref_lang", "ref_classes", "ref_words", "all_classes", "all_words", "every_words", "classes", "common")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -156,8 +175,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(docs, ["doc_id"]).select(*columns)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judge(docs, ["doc_id"]).select(*columns, F.col("kept_pooled").alias("kept"))
 
 
 def _oracle() -> str:

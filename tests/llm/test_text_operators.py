@@ -187,6 +187,27 @@ def test_quality_keeps_clean_text_and_columns(docs):
     assert not ids & {130, 131, 140, 141, 142, 143} and 1 in ids
 
 
+def test_quality_keeps_clean_text_of_languages_without_reference(spark):
+    """Null and rare languages, one in a script without case; junk among them still goes."""
+    import random
+
+    rng = random.Random(2)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(200))
+    english = "the of and to in is that it for was river stone cloud morning paper window".split()
+    german = "der die und den von zu das mit sich des Wolke Stein Fluss Morgen Papier Fenster".split()
+    spanish = "el y los del se por para con no su piedra nube papel ventana puente noche".split()
+    caseless = [chr(0x0905 + i) + chr(0x0915 + j) for i in range(8) for j in range(8)]
+    digits = " ".join(f"{rng.randrange(10**6)}#{rng.randrange(10**6)}" for _ in range(200))
+    listed = [f"{a}{b}" for a in ("buy", "cheap", "click", "deal") for b in range(40)]
+    clean = [(200, text(german), None), (201, text(english), None), (202, text(spanish), "es"), (203, text(caseless), "hi")]
+    junk = [(210, digits, None), (211, digits, "es"), (212, text(listed), None)]
+    known = [(i, text(english), "en") for i in range(100)] + [(100 + i, text(german), "de") for i in range(60)]
+    kept = lambda rows: {r[0] for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id").collect()}
+    assert kept(known + clean + junk) == {*range(160), 200, 201, 202, 203}
+    few = known[:3] + clean  # no language has a reference
+    assert kept(few) == {r[0] for r in few}
+
+
 def test_quality_of_nothing(no_docs):
     assert quality.keep(no_docs).count() == 0
 
