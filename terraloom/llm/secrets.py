@@ -35,8 +35,9 @@ _MAY = {
 }
 HEX = re.compile(r"[0-9a-f]{32,}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: A run of base64 whose lines, the first of 40 characters at least, may be broken as key files break them.
-_CODED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-Za-z0-9+/_-]{39}|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]*(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A run of base64 whose lines, the first of 40 characters at least, may be broken as key files break them. It may
+#: follow a '=', as in NAME=MII...
+_CODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39}|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]*(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
 _HEX_CODED = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[fF]70656[eE]7373682[dD])[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\0"
 
