@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import common, linededup, mixing, packing, quality, simhash
+from terraloom.llm import common, linededup, mixing, near, packing, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,8 +48,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_staged
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return simhash.dedup(docs)
+    """One document of each class of near copies, by fingerprints and by five-word shingles."""
+    return near.dedup(docs)
 
 
 @_staged

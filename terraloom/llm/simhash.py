@@ -8,6 +8,8 @@ to the next keeps every component without listing pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,16 +39,21 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def words(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The lower-cased words of each text."""
+    for text in pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")):
+        # bytes.split() cuts at exactly the six blanks that separate words
+        yield text.as_buffer().to_pybytes().split() if len(text.as_py()) else []
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long; null and wordless texts have 0."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_string())
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(pc.ascii_lower(pc.fill_null(texts, ""))):
-                # bytes.split() cuts at exactly the six blanks that separate words
-                out[i] = fingerprint(text.as_buffer().to_pybytes().split() if len(text.as_py()) else [], shingle, seed)
+            for i, found in enumerate(words(batch.column(1))):
+                out[i] = fingerprint(found, shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -70,9 +77,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Equal fingerprints are one node, however many documents have them. Wordless and null texts share
     fingerprint 0; repeated rows and null ids are kept, and a component of null ids alone has a null id.
     """
-    rows = common.written(fingerprints(docs, id_col, **options), "fingerprints")
+    return classed(common.written(fingerprints(docs, id_col, **options), "fingerprints"))
+
+
+def classed(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The same of given (doc_id, fp), by the edges (a, b) of `more` between fingerprints too."""
     distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = graph.components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    parts = graph.components(edges if more is None else edges.unionByName(more))
     joined = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = common.written(joined, "classes")
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
