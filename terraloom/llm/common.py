@@ -1,69 +1,18 @@
-"""Shared pieces: written tables in the cluster's shared folder, row keys, word patterns."""
+"""Shared pieces: row keys, word patterns, and the scratch tables of the sources package."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.sources.tables import collected, discard, shared_root, tidied, written
+
+__all__ = ["collected", "discard", "documents", "fresh", "keyed", "n_words", "shared_root", "tidied", "written"]
+
 #: Words are maximal runs of anything but space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-_local: dict[int, str] = {}
-#: Tables written while a collector is open, so that a caller who knows they are done with can delete them.
-_collectors: list[list[DataFrame]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _local:
-        _local[key] = tempfile.mkdtemp(prefix="terraloom-")
-        atexit.register(shutil.rmtree, _local[key], ignore_errors=True)
-    return f"file://{_local[key]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once under the shared folder and read it back: lineage ends in files every executor sees."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/terraloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._terraloom_path = path
-    for tables in _collectors:
-        tables.append(out)
-    return out
-
-
-@contextmanager
-def collected() -> Iterator[list[DataFrame]]:
-    """The tables written inside the block."""
-    tables: list[DataFrame] = []
-    _collectors.append(tables)
-    try:
-        yield tables
-    finally:
-        _collectors[:] = [x for x in _collectors if x is not tables]
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a written table that nothing will read again."""
-    path = getattr(df, "_terraloom_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
 
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't use."""
