@@ -35,11 +35,35 @@ _MAY = {
 }
 HEX = re.compile(r"[0-9a-f]{32,}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: A run of base64 whose lines, the first of 40 characters at least, may be broken as key files break them. It may
-#: follow a '=', as in NAME=MII...
-_CODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39}|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]*(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: A run of base64 whose lines may be broken as key files break them, or by the written-out breaks of strings; a
+#: key may begin on any of its lines, with 40 characters at least, and after a '=', as in NAME=MII...
+_CODED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-Za-z0-9+/_-]{39}|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]*+(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]++)*+={0,2}")
+_BREAK = re.compile(r"\r?\n|(?:\\r)?\\n")
+_KEY_START = re.compile(r"M[A-Za-z0-9+/_-]{39}|b3BlbnNzaC1rZXkt")
 _HEX_CODED = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[fF]70656[eE]7373682[dD])[0-9A-Fa-f]{38,}(?![0-9A-Fa-f])")
 _OPENSSH = b"openssh-key-v1\0"
+#: Elements of a sequence that any private key has, and some.
+MOST_ELEMENTS = 16
+
+
+class Coded:
+    """Bytes of a base64 run from one of its characters on; only what is read is decoded."""
+
+    def __init__(self, body: str, first: int, size: int | None = None):
+        self.body, self.first = body, first
+        self.size = (len(body) - first) * 3 // 4 if size is None else size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice):
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        a, b = max(0, at.start or 0), min(self.size, self.size if at.stop is None else at.stop)
+        if a >= b:
+            return b""
+        piece = self.body[self.first + a // 3 * 4 : self.first - (-b // 3) * 4]
+        return base64.b64decode(piece + "=" * (-len(piece) % 4))[a % 3 : a % 3 + b - a]
 
 
 def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -57,11 +81,11 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill data[at:end] exactly."""
+    """The elements that fill data[at:end] exactly, or None; no key has more than MOST_ELEMENTS."""
     out = []
     while at < end:
         x = _tlv(data, at, end)
-        if x is None:
+        if x is None or len(out) == MOST_ELEMENTS:
             return None
         out.append(x)
         at = x[2]
@@ -93,28 +117,56 @@ def der_key(data: bytes) -> bool:
     return False
 
 
+def openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: magic, three counted strings, a count of keys, and a string each and one more."""
+    if data[: len(_OPENSSH)] != _OPENSSH:
+        return None
+    at = len(_OPENSSH)
+
+    def skip(at: int, n: int) -> int | None:
+        for _ in range(n):
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if at <= len(data) else None
+
+    at = skip(at, 3)
+    if at is None or not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 16:
+        return None
+    return skip(at + 4, n + 1)
+
+
 def openssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: magic, three counted strings, a count of keys, and as many counted strings again."""
-    if not data.startswith(_OPENSSH):
-        return False
-    at, strings = len(_OPENSSH), 0
-
-    def skip(at: int) -> int | None:
-        size = int.from_bytes(data[at : at + 4], "big")
-        return at + 4 + size if at + 4 + size <= len(data) and len(data) >= at + 4 else None
-
-    for strings in range(3):
-        at = skip(at)
-        if at is None:
-            return False
-    n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= n <= 16:
-        return False
-    for strings in range(n + 1):
-        at = skip(at)
-        if at is None:
-            return False
-    return at == len(data) and strings == n
+    return openssh_end(data) == len(data)
+
+
+def coded_keys(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a base64 run: whole lines from a key's first to the one its lengths end on.
+
+    Ordinary words may follow on the next lines. Only the lengths and heads are decoded, so a run costs its size.
+    """
+    edges = [start, *(x for m in _BREAK.finditer(text, start, end) for x in m.span()), end]
+    body, lines, ends = [], [], {}
+    size = 0
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        lines.append((a, size))
+        piece = text[a:b].rstrip("=")
+        body.append(piece)
+        size += len(piece)
+        ends[size] = b
+    whole, found, upto = "".join(body).replace("-", "+").replace("_", "/"), [], 0
+    for a, first in lines:
+        if first < upto or not _KEY_START.match(text, a, end):
+            continue
+        data = Coded(whole, first)
+        top = _tlv(data, 0, len(data))
+        der = top is not None and top[0] == 0x30
+        total = top[2] if der else openssh_end(data)
+        last = total and first - (-total * 4 // 3)
+        if last in ends and (not der or der_key(Coded(whole, first, total))):
+            found.append((a, ends[last]))
+            upto = last
+    return found
 
 
 def _decoded(text: str) -> bytes | None:
@@ -149,17 +201,7 @@ def scan(text: str, may: set[str] | None = None) -> list[tuple[int, int, str]]:
     if "signed" in may:
         out += [(m.start(), m.end(), "signed") for m in _SIGNED.finditer(text) if signed_token(m[1], m[2])]
     if "key" in may:
-        for m in _CODED.finditer(text):
-            # Ordinary words may follow on the next line: the longest run of whole lines that is a key counts.
-            end = m.end()
-            while end > m.start():
-                data = _decoded(text[m.start() : end]) if end - m.start() >= 40 else None
-                if data and (der_key(data) or openssh_key(data)):
-                    out.append((m.start(), end, "key"))
-                    break
-                end = max(text.rfind("\n", m.start(), end), m.start())
-                if end > m.start() and text[end - 1] == "\r":
-                    end -= 1
+        out += [(a, b, "key") for m in _CODED.finditer(text) for a, b in coded_keys(text, m.start(), m.end())]
         for m in _HEX_CODED.finditer(text):
             if len(m[0]) % 2 == 0 and (der_key(data := bytes.fromhex(m[0])) or openssh_key(data)):
                 out.append((m.start(), m.end(), "key"))
