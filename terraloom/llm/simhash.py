@@ -3,7 +3,7 @@
 Two fingerprints within twice the half radius have a common variant within the half radius of each. Every
 distinct fingerprint emits its variants; those that meet on one are verified. All that meet on a variant lie
 within that small ball, so a meeting has at most as many members as the ball has points, and linking each
-to the next keeps every component without listing pairs.
+to one of them keeps every component without listing pairs.
 """
 
 from __future__ import annotations
@@ -61,14 +61,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (fp): a chain through every meeting, each edge verified."""
-    if radius not in (1, 2):
-        raise ValueError("the ball of half the radius is one bit flip at most: radius 1 or 2")
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(BITS)))
-    emitted = distinct.select("fp", F.explode(flips).alias("variant"))
-    meeting = Window.partitionBy("variant").orderBy("fp")
-    edges = emitted.select("fp", F.lag("fp").over(meeting).alias("b")).filter("b is not null")
-    return edges.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius).select(F.col("fp").alias("a"), "b").distinct()
+    """Edges (a, b) between distinct fingerprints (fp) of at most `radius` differing bits; all components, not all pairs.
+
+    With half of the radius, rounded up, as the ball's radius, two fingerprints within `radius` meet on a
+    variant that one of them reaches in `radius` less that half: an inner member of the meeting. Every member
+    is within `radius` of every inner one, so linking all to the least inner one loses no component.
+    """
+    if radius < 0:
+        raise ValueError("the radius can't be negative")
+    half = -(-radius // 2)
+    flips = F.array(F.col("variant"), *(F.col("variant").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(BITS)))
+    emitted = distinct.select("fp", F.col("fp").alias("variant"))
+    for step in range(half):
+        emitted = emitted.select("fp", F.explode(flips).alias("variant"))
+        if step:
+            emitted = emitted.distinct()
+    inner = F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))) <= radius - half
+    head = F.min(F.when(inner, F.col("fp"))).over(Window.partitionBy("variant"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius
+    edges = emitted.select("fp", head.alias("b")).filter((F.col("b") != F.col("fp")) & close)
+    return edges.select(F.col("fp").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -80,10 +92,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return classed(common.written(fingerprints(docs, id_col, **options), "fingerprints"))
 
 
-def classed(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+def classed(rows: DataFrame, more: DataFrame | None = None, radius: int = RADIUS) -> DataFrame:
     """The same of given (doc_id, fp), by the edges (a, b) of `more` between fingerprints too."""
     distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = links(distinct.select("fp"))
+    edges = links(distinct.select("fp"), radius)
     parts = graph.components(edges if more is None else edges.unionByName(more))
     joined = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = common.written(joined, "classes")
