@@ -19,40 +19,50 @@ from pyspark.sql import functions as F
 from terraloom.llm import common
 
 MIN_WORDS = 50
-#: Buckets of the first numbering, each with a 4096th of the distinct lines, and blocks of later ones.
-BUCKET_BITS, BLOCKS = 12, 256
+#: Least number of buckets of the first numbering and of blocks of later ones, as a power of two; see `_parts`.
+LEAST_BITS = 8
+
+
+def _parts(n: int) -> int:
+    """Bits of about the square root of n: as many parts as rows in each, so that neither outgrows a window."""
+    return max(LEAST_BITS, -(-max(1, n).bit_length() // 2))
 
 
 def lines(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """Lines with a word: k (row), o (order), raw (line number), idx (number among these), h, words."""
-    split = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(F.xxhash64(x).alias("h"), common.n_words(x).cast("int").alias("words"), i.alias("raw")))
-    some = F.transform(F.filter(split, lambda x: x["words"] > 0), lambda x, i: F.struct(x["h"].alias("h"), x["words"].alias("words"), x["raw"].alias("raw"), i.alias("idx")))
+    """Lines with a word: k (row), o (order), raw (line number), idx (number among these), h and g, words.
+
+    h and g are 96 bits of two hashes: unequal lines that agree in both aren't to be expected in any corpus.
+    """
+    entry = lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), common.n_words(x).cast("int").alias("words"), i.alias("raw"))
+    split = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), entry)
+    some = F.transform(F.filter(split, lambda x: x["words"] > 0), lambda x, i: F.struct(*(x[c].alias(c) for c in ("h", "g", "words", "raw")), i.alias("idx")))
     return rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.inline(some))
 
 
-def _first_ranks(active: DataFrame) -> DataFrame:
-    """(h, rank): how many positions hold a lesser line; by buckets of h, and within them."""
-    counts = active.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
+def _first_ranks(active: DataFrame, n: int) -> DataFrame:
+    """(h, g, rank): how many of the n positions hold a lesser line; by buckets of h, and within them."""
+    counts = active.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.shiftright("h", 64 - _parts(n)))
     counts = common.written(counts, "linecounts")
     up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("bucket").agg(F.sum("n").alias("b"))  # 4096 rows at most
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("b"))  # about the square root of n rows
     base = sums.select("bucket", F.coalesce(F.sum("b").over(up_to(Window.orderBy("bucket"))), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n").over(up_to(Window.partitionBy("bucket").orderBy("h"))), F.lit(0))
-    return counts.withColumn("within", within).join(base, "bucket").select("h", (F.col("base") + F.col("within")).alias("rank"))
+    within = F.coalesce(F.sum("n").over(up_to(Window.partitionBy("bucket").orderBy("h", "g"))), F.lit(0))
+    return counts.withColumn("within", within).join(base, "bucket").select("h", "g", (F.col("base") + F.col("within")).alias("rank"))
 
 
 def _refined(ranks: DataFrame, width: int, n: int) -> DataFrame:
     """Ranks at twice the width: within each group, by how many members have a lesser rank `width` lines on.
 
     Members are counted by (rank, next rank) before anything is ordered, and a group's next ranks are summed
-    by blocks first: a line that a third of all `n` positions share has at most BLOCKS + 1 rows in any window.
+    by blocks first. There are about as many blocks as a block has next ranks, the square root of all `n` positions,
+    and no window holds more rows than that, whatever share of the positions one line has.
     """
     ahead = Window.partitionBy("k").orderBy("idx")
     follows = F.lead("idx", width).over(ahead) == F.col("idx") + width
     pairs = ranks.withColumn("next", F.coalesce(F.when(follows, F.lead("rank", width).over(ahead)), F.lit(-1)))
     pairs = common.written(pairs, f"pairs{width}")
     counts = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
-    counts = common.written(counts.withColumn("block", F.floor(F.col("next") / (n // BLOCKS + 1))), f"counts{width}")
+    counts = common.written(counts.withColumn("block", F.floor(F.col("next") / ((n >> _parts(n)) + 1))), f"counts{width}")
     up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy("rank", "block").agg(F.sum("n").alias("s"))
     base = F.coalesce(F.sum("s").over(up_to("rank").orderBy("block")), F.lit(0))
@@ -86,9 +96,9 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     """(k, deleted): the line numbers to delete of every row that has any; rows in order of (`order`, `key`)."""
     table = common.written(lines(rows, key, text, order), "lines")
     # A line that occurs once is in no repeated run, and a segment without enough words holds none.
-    often = table.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("often"))
+    often = table.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("often"), F.col("g").alias("also"))
     often = common.written(often, "often")  # joined as a table, so that a very common line's rows can be split
-    repeated = table.join(often, table.h == often.often).drop("often")
+    repeated = table.join(often, (table.h == often.often) & (table.g == often.also)).drop("often", "also")
     by_row = Window.partitionBy("k").orderBy("idx")
     cut = F.when(F.lag("idx").over(by_row) == F.col("idx") - 1, 0).otherwise(1)
     segments = repeated.withColumn("cut", cut).withColumn("seg", F.sum("cut").over(by_row.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
@@ -98,8 +108,8 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
     widest, n = runs.agg(F.max("m")).first()[0], active.count()
     if widest is None:
         return runs.select("k", F.array("start").alias("deleted"))
-    first = common.written(_first_ranks(active).withColumnRenamed("h", "line"), "first")
-    ranks = active.join(first, active.h == first.line).select("k", "idx", "rank")
+    first = common.written(_first_ranks(active, n).withColumnsRenamed({"h": "line", "g": "also"}), "first")
+    ranks = active.join(first, (active.h == first.line) & (active.g == first.also)).select("k", "idx", "rank")
     named, width = None, 1
     while True:
         ranks = common.written(ranks, f"ranks{width}")
@@ -123,9 +133,13 @@ def later_copies(rows: DataFrame, key: str, order: str, text: str = "text", min_
 
 
 def _left(text: Column, deleted: Column) -> Column:
-    parts = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), deleted)
-    return F.when(F.size(stay) == 0, F.lit("")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    """text without the deleted lines; its lines are split once, as the one element of an array."""
+
+    def kept(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), deleted)
+        return F.when(F.size(stay) == 0, F.lit("")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+
+    return F.get(F.transform(F.array(F.split(text, "\n")), kept), F.lit(0))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
