@@ -41,8 +41,19 @@ TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Pattern rules of a text file, one a line; blank lines and those that begin with # are left out.
+
+    More than MAX_RULES are an error: the rules are broadcast.
+    """
+    lines = [r[0].strip() for r in spark.read.text(path).limit(MAX_RULES + 1).collect()]
+    if len(lines) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules: they are broadcast to every task")
+    return tuple(x for x in lines if x and not x.startswith("#"))
+
+
 def literal_tokens(pattern: str) -> list[str]:
-    """Tokens that every match holds whole: literal runs between word boundaries or literal separators."""
+    """Tokens of a lower-cased url that every match holds whole: literal runs between boundaries or separators."""
     found, run, open_left = [], "", False
 
     def close(open_right: bool) -> None:
@@ -51,18 +62,16 @@ def literal_tokens(pattern: str) -> list[str]:
             found.append(run)
         run = ""
 
-    for kind, value in parser.parse(pattern, re.ASCII):
-        if kind is op.LITERAL:
-            char = chr(value)
-            if TOKEN.fullmatch(char):
-                run += char
-            else:
-                close(True)
-                open_left = True
-        elif kind is op.AT and value is op.AT_BOUNDARY:
+    parsed = parser.parse(pattern, re.ASCII)
+    folded = bool(parsed.state.flags & re.IGNORECASE)
+    for kind, value in parsed:
+        char = chr(value).translate(_UPPER) if kind is op.LITERAL and folded else chr(value) if kind is op.LITERAL else ""
+        if TOKEN.fullmatch(char):
+            run += char
+        elif kind is op.LITERAL and not char.isalnum() or kind is op.AT and value in (op.AT_BOUNDARY, op.AT_END, op.AT_END_STRING, op.AT_BEGINNING, op.AT_BEGINNING_STRING):
             close(True)
             open_left = True
-        else:
+        else:  # among them a letter that lower-cased urls can't hold, so that the rule is tried on all and never matches
             close(False)
             open_left = False
     close(False)
