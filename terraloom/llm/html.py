@@ -36,58 +36,146 @@ HIDDEN_TEXT = frozenset("script style title textarea template noscript svg math
 _CLOSED_BY_SIBLING = {"p": BLOCKS - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 _LISTS = frozenset("ul ol dl table select menu".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: The same for what follows a quote that is never closed: a tag ends at its first angle bracket.
+_LOOSE_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
+_OPENS = re.compile("</?[A-Za-z]")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {t: re.compile(rf"</{t}\b", re.I) for t in HIDDEN_TEXT}
 
 
 @lru_cache(4096)
+def _known_names(tag: str, attributes: str) -> tuple[str, ...]:
+    return _read_names(tag, attributes)
+
+
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    """An element's name, and its name's and class words' tokens."""
+    """An element's name and its class words' tokens; those of short attributes are remembered."""
+    return (_known_names if len(attributes) < 500 else _read_names)(tag, attributes)
+
+
+def _read_names(tag: str, attributes: str) -> tuple[str, ...]:
     out = [tag]
     for m in _ATTR.finditer(attributes):
         out += ["." + w.lower() for w in _NAME.findall(m[2] or m[3] or m[4] or "")]
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str) -> list[tuple[tuple, str, float]]:
-    """(path, text, share of characters inside links) of every leaf block with text, in page order."""
+@lru_cache(4096)
+def _bins(names: tuple[str, ...]) -> frozenset:
+    return frozenset(crc32(n.encode()) % PATH_DIMS for n in names)
+
+
+class Element:
+    """An open element: its names and its parent's, and the bins of all names on its path, one set where it adds none."""
+
+    __slots__ = ("tag", "names", "above", "bins", "_own")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None):
+        own, bins = _bins(names), parent.bins if parent else frozenset({0})
+        self.tag, self.names, self.above = tag, names, parent.names if parent else ()
+        self.bins, self._own = bins if own <= bins else bins | own, None
+
+    def path_bins(self) -> np.ndarray:
+        """Bins of the path: every name of every element, and the innermost two elements' names apart."""
+        if self._own is None:
+            inner = {crc32(f"{depth}{n}".encode()) % PATH_DIMS for depth, names in enumerate((self.names, self.above)) for n in names}
+            self._own = np.array(sorted(self.bins | inner), np.int32)
+        return self._own
+
+
+_NO_PATH = np.array([0], np.int32)
+
+
+class _Open:
+    """The stack of open elements, with where each tag and the blocks stand in it."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def cut(self, at: int) -> None:
+        """Close all elements from place `at` on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; an inline one doesn't close the block around it."""
+        places = self.places.get(tag)
+        if places and (tag in BLOCKS or not self.blocks or self.blocks[-1] < places[-1]):
+            self.cut(places[-1])
+
+    def open(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            i = len(self.blocks) - 1
+            while i >= 0:
+                above = self.stack[self.blocks[i]].tag
+                if tag in _CLOSED_BY_SIBLING.get(above, ()):
+                    self.cut(self.blocks[i])
+                elif above in _LISTS or above not in _CLOSED_BY_SIBLING:
+                    break
+                i -= 1
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, _names(tag, attributes), self.stack[-1] if self.stack else None))
+
+
+def blocks(page: str) -> list[tuple[Element | None, str, float]]:
+    """(innermost element, text, share of characters inside links) of every leaf block with text, in page order.
+
+    One pass: after a quote that is never closed, tags end at their first angle bracket, and an element of
+    hidden text that is never closed is looked for once.
+    """
     out: list = []
-    stack: list[tuple[str, tuple]] = []
+    opened = _Open()
     text: list[str] = []
     linked, anchors = 0, 0
 
     def flush():
         nonlocal linked
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
+            joined = " ".join("".join(text).split())
             if joined:
-                out.append((tuple(names for _, names in stack if names), joined, min(1.0, linked / max(1, len(joined)))))
+                out.append((opened.stack[-1] if opened.stack else None, joined, min(1.0, linked / max(1, len(joined)))))
             text.clear()
         linked = 0
 
     def push(piece: str):
         nonlocal linked
+        piece = entities.unescape(piece)
         text.append(piece)
         if anchors:
             linked += len(piece)
 
-    at, size = 0, len(page)
+    at, size, tags, last, unclosed = 0, len(page), _TAG, page.rfind(">"), set()
     while at < size:
-        m = _TAG.search(page, at)
+        m, start = None, at
+        while m is None and (lt := page.find("<", start)) >= 0:
+            if lt > last and (lt := page.find("<!--", lt)) < 0:
+                break
+            m = tags.match(page, lt)
+            if m is None and tags is _TAG and _OPENS.match(page, lt):
+                tags = _LOOSE_TAG
+                m = tags.match(page, lt)
+            start = lt + 1
         if m is None:
             push(page[at:])
             break
-        if m.start() > at:
-            push(page[at : m.start()])
+        if lt > at:
+            push(page[at:lt])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in HIDDEN_TEXT and not closing:
-            end = _ENDS[tag].search(page, at)
+            end = None if tag in unclosed else _ENDS[tag].search(page, at)
             if end is None:
+                unclosed.add(tag)
                 if tag not in ("svg", "math", "template", "noscript"):
                     break
                 continue
@@ -103,38 +191,17 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
         if closing:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and tag not in BLOCKS:
-                    break  # an inline end tag doesn't close the block around it
+            opened.close(tag)
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag == "a":
             anchors += 1
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
-                open_ = stack[i][0]
-                if tag in _CLOSED_BY_SIBLING.get(open_, ()):
-                    del stack[i:]
-                elif open_ in _LISTS or open_ in BLOCKS and open_ not in _CLOSED_BY_SIBLING:
-                    break
-        stack.append((tag, _names(tag, m[3])))
+        opened.open(tag, m[3])
     flush()
     return out
 
 
-@lru_cache(50_000)
-def _path_bins(path: tuple) -> np.ndarray:
-    """Bins of a path: every name of every element, and the innermost elements' names apart; one at least."""
-    bins = {0, *(crc32(n.encode()) % PATH_DIMS for names in path for n in names)}
-    for depth, names in enumerate(reversed(path[-2:])):
-        bins |= {crc32(f"{depth}{n}".encode()) % PATH_DIMS for n in names}
-    return np.array(sorted(bins), np.int32)
-
-
 @dataclass
 class Page:
     """A page's blocks as the network reads them: bins of each path, and word bag and shape as dense rows."""
@@ -154,7 +221,7 @@ def vectors(found: list) -> Page:
         n = len(words)
         x[i, :WORD_DIMS] = bag / np.linalg.norm(bag)
         x[i, WORD_DIMS:] = (np.log1p(n) / 4, np.log1p(len(text)) / 6, linked, text[-1] in ".!?:;\"'…", i / max(1, len(found) - 1), n <= 3)
-    return Page([_path_bins(path) for path, _, _ in found], x)
+    return Page([path.path_bins() if path else _NO_PATH for path, _, _ in found], x)
 
 
 class Batch:
@@ -205,8 +272,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(w: dict, x: Batch, way: str) -> tuple[np.ndarray, list]:
-    """Hidden states (pages, blocks, HIDDEN) one way; past a page's end the state stays at zero."""
+def _run(w: dict, x: Batch, way: str, taped: bool = False) -> tuple[np.ndarray, list]:
+    """Hidden states (pages, blocks, HIDDEN) one way, and the steps if taped; past a page's end the state stays at zero."""
     (b, t), mask = x.shape, x.mask
     pre = x.project(w["x" + way]) + w["c" + way]
     h, c, out, tape = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.zeros((b, t, HIDDEN), np.float32), []
@@ -216,7 +283,8 @@ def _run(w: dict, x: Batch, way: str) -> tuple[np.ndarray, list]:
         g = np.tanh(z[:, 3 * HIDDEN :])
         m = mask[:, k, None]
         now = (f * c + i * g) * m
-        tape.append((k, h, c, i, f, o, g, now))
+        if taped:
+            tape.append((k, h, c, i, f, o, g, now))
         c = now
         h = o * np.tanh(c) * m
         out[:, k] = h
@@ -229,7 +297,7 @@ def logits(w: dict, x: Batch) -> np.ndarray:
 
 
 def _gradients(w: dict, x: Batch, y: np.ndarray) -> dict[str, np.ndarray]:
-    runs, mask = {way: _run(w, x, way) for way in "fb"}, x.mask
+    runs, mask = {way: _run(w, x, way, taped=True) for way in "fb"}, x.mask
     both = np.concatenate([runs[way][0] for way in "fb"], axis=2)
     d = (_sigmoid((both @ w["o"] + w["d"])[..., 0]) - y) * mask / mask.sum()
     grads = {"o": np.einsum("bth,bt->h", both, d)[:, None], "d": d.sum(keepdims=True).reshape(1)}

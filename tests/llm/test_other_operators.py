@@ -1,7 +1,9 @@
 import collections
 import html as entities
 import math
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -131,6 +133,24 @@ def test_literal_tokens_are_whole_and_required():
     assert index == {"farm": [0]} and always == [1]
 
 
+def test_index_equals_trying_every_rule(spark, tmp_path):
+    """Thousands of rules, folded case and anchors among them: what the index fetches holds all that match."""
+    assert urls.literal_tokens(r"(?i)\bAds\b") == ["ads"] and urls.literal_tokens(r"\bAds\b") == []
+    assert urls.literal_tokens(r"^http://www\.") == ["http", "www"] and urls.literal_tokens(r"/end$") == ["end"]
+    rng = random.Random(8)
+    words = [f"{a}{b}{n}" for a in "abcde" for b in ("ds", "log", "x") for n in range(40)]
+    forms = [r"(?i)\b{0}\b", r"\b{1}-{0}\b", r"/{1}/{2}/", r"(?i)^https?://{0}\.", r"{1}$", r"\b{1}s?\b", r"[&?]{1}=", r"(?i){0}_{0}", r"\b{0}\b"]
+    rules = tuple(rng.choice(forms).format(w.title(), w, rng.choice(words)) for w in rng.choices(words, k=3000))
+    spell = lambda: rng.choice((str, str.upper, str.title))(rng.choice(words))
+    rows = [(i, f"{rng.choice(('http', 'HTTPS'))}://{spell()}.xyz/{spell()}-{spell()}/{spell()}/{spell()}_{spell()}?{spell()}={spell()}") for i in range(300)]
+    (tmp_path / "rules.txt").write_text("# rules\n\n" + "\n".join(rules) + "\n")
+    rules = urls.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(rules) == 3000
+    got = dict(urls.judge(spark.createDataFrame(rows, "page_id long, url string"), patterns=rules).select("page_id", "pattern").collect())
+    compiled = [re.compile(r, re.A) for r in rules]
+    assert got == {i: next((r.pattern for r in compiled if r.search(u.lower())), None) for i, u in rows}
+
+
 # --- html --------------------------------------------------------------------------------------------------
 
 
@@ -142,6 +162,23 @@ def test_blocks_of_untidy_pages():
     assert texts("<p>&eacute;&#233;&#xe9;&nbsp;&nbsp;z\n\t y</p><textarea>no</textarea><title>no</title>") == ["ééé z y"]
     assert texts("<p>open <script>never closed") == ["open"]
     assert len(html.blocks("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
+    assert texts("<p>&am<b>p;lt;</b> &lt;<i>b</i></p>") == ["&amp;lt; <b"]
+    assert texts('<p title="open>one</p><p class=a>two</p> < 3') == ["one", "two", "< 3"]
+    assert texts("<p>a <!-- b < c") == ["a"] and texts("<p>a <b c < d") == ["a <b c < d"]
+
+
+@pytest.mark.parametrize("part", ['<a href="x>t ', "<a 'x ", "<div>text ", "<b>", "<svg>", "</section></b>", "<p><b>x", "<i><div><b></i>", "<!x ", "<li><td>a", "<div class=c{}>x "])
+def test_blocks_in_linear_time(part):
+    """Untidy pages cost their size: 16 times as long, less than 64 times the time."""
+
+    def seconds(n):
+        page = "".join(part.replace("{}", str(i % 100)) for i in range(n)) + ("'" if part.startswith("<a ") else "")
+        start = time.process_time()
+        html.vectors(html.blocks(page))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(32_000) < max(64 * seconds(2000), 1)
 
 
 def test_labels_on_held_out_pages():
@@ -159,7 +196,8 @@ def test_labels_on_held_out_pages():
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html._weights(1).items()}
-    pages = [html.vectors([((("div", ".a"), ("p",)), f"Some words {i} {k}.", 0.1 * k) for k in range(n)]) for i, n in enumerate((5, 3))]
+    path = html.Element("p", ("p",), html.Element("div", ("div", ".a"), None))
+    pages = [html.vectors([(path, f"Some words {i} {k}.", 0.1 * k) for k in range(n)]) for i, n in enumerate((5, 3))]
     x = html.Batch(pages)
     x.dense = x.dense.astype(float)
     y = rng.integers(0, 2, (2, 5)).astype(float)
