@@ -74,7 +74,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 20, "trees": 6, "spill": 0.08}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 20, "trees": 6, "margin": 1.4}])
 def test_embedding_links_equal_brute_force(spark, options):
     rows = vectors()
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, pid int, mult int")
@@ -82,9 +82,39 @@ def test_embedding_links_equal_brute_force(spark, options):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256, 1024])
+def test_cuts_divide_at_any_dimension(dim):
+    """Vectors without clusters are cut level by level, and few of them go both ways."""
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((1024, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    spill = embeddings.MARGIN * math.sqrt(2 - 2 * embeddings.LEAST_COSINE) / math.sqrt(dim)
+    p = (v @ embeddings._directions(1, 0, 0, dim)).astype(np.float32)
+    heap = embeddings._grow(p, 60, spill)
+    assert (heap[:, 0] >= 0).all()
+    rows, place = embeddings._walk(p, np.repeat(heap[None], len(p), axis=0))
+    assert set(rows) == set(range(1024)) and len(rows) < 1.2**embeddings.STEP * 1024
+
+
+@pytest.mark.parametrize("dim", [48, 512])
+def test_forest_recall_where_labels_exceed_a_leaf(spark, dim):
+    """Labels of ten leaves, with the default parameters, against all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((2300, dim))
+    x = np.concatenate([base, *(base[k * 100 : k * 100 + 100] + rng.normal(0, s, (100, dim)) for k, s in enumerate((0.05, 0.1, 0.15, 0.18)))]).astype(np.float32)
+    x = np.concatenate([x, base[0] + rng.normal(0, 0.09, (400, dim))]).astype(np.float32)  # near copies of one vector, more than a leaf
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r[0]: r[1:] for r in embeddings.classes(frame).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    n = np.array([got[i][0] for i in range(len(x))])
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum() > 0
+
+
 def test_embedding_blocks_count_each_pair_once(spark, monkeypatch):
     rows = vectors()
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    for name, value in (("BLOCK", 16), ("COPIES", 3), ("EDGES", 10)):
+        monkeypatch.setattr(embeddings, name, value)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert collections.Counter(tuple(r) for r in embeddings.classes(frame).collect()) == brute_links(rows)
 
