@@ -45,7 +45,7 @@ def overlap(ref: DataFrame, pred: DataFrame, ref_geo: tuple, pred_geo: tuple) ->
     x, y = x0 + (F.col("col") + 0.5) * res, y1 - (F.col("row") + 0.5) * res
     at = pred.select("row", "col", F.col("v").alias("pred"), F.floor((ry - y) / rres).cast("int").alias("r"), F.floor((x - rx) / rres).cast("int").alias("c"))
     out = at.join(ref.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("v").alias("ref")), ["r", "c"])
-    return out.select("row", "col", "ref", "pred")
+    return require_overlap(out.select("row", "col", "ref", "pred"))
 
 
 def require_overlap(joined: DataFrame) -> DataFrame:
@@ -66,6 +66,13 @@ def resampled_size(size: int, res: float, target: float) -> int:
     return max(1, int(size / (target / res)))
 
 
+def source_resolution(x_res: float, y_res: float) -> float:
+    """A raster's resolution; pixels that aren't square within 1e-9 are an error."""
+    if abs(abs(x_res) - abs(y_res)) > 1e-9:
+        raise ValueError(f"pixels aren't square: {x_res} x {y_res}")
+    return abs(x_res)
+
+
 def block_average(raster: DataFrame, factor: int) -> DataFrame:
     """Our own resampling to a coarser grid: the mean of each factor x factor block's values."""
     r, c = (F.floor(F.col(x) / factor).cast("int").alias(x) for x in ("row", "col"))

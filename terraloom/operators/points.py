@@ -23,13 +23,21 @@ def locate(points: DataFrame, extents: DataFrame, res: float, by: list[str] | No
     return on.withColumns({"row": row, "col": col}).drop("x0", "y1", "width", "height")
 
 
-def rasterize(located: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+def rasterize(located: DataFrame, order: list[str], by: list[str] | None = None, sequential: str | None = None) -> DataFrame:
     """Surface (max z), terrain (min z of terrain classes) and class of the highest point of each pixel.
 
     One hash aggregation with map-side combine. Heights are stored in single precision; among points of one
     stored height the first in `order` gives the class. A pixel without terrain points has a NULL terrain.
+
+    `sequential` names a file-order number instead: points of one height then tie as in a loop that replaces a
+    stored height by every greater one. Where storing rounds down, an equal later point is greater and wins;
+    otherwise the first does.
     """
-    top = F.struct((-F.col("z").cast("float")).alias("z"), *order)
+    z = F.col("z").cast("float")
+    if sequential:
+        later = z.cast("double") < F.col("z").cast("double")
+        order = [F.when(later, -F.col(sequential)).otherwise(F.col(sequential)).alias("seq")]
+    top = F.struct((-z).alias("z"), *order)
     return located.groupBy(*(by or []), "row", "col").agg(
         F.max("z").cast("float").alias("dsm"),
         F.min(F.when(px.terrain("cls"), F.col("z"))).cast("float").alias("dtm"),

@@ -52,30 +52,39 @@ def lower_neighbours(raster: DataFrame, v: str = "v", by: tuple[str, ...] = ())
     return neighbours(raster, v, by).withColumn("area", F.when(inner, lower + 1).otherwise(1)).drop("near")
 
 
-def fill_jacobi(raster: DataFrame, v: str = "v", cls: str | None = "cls", water: int = 9, most: int = 10_000) -> DataFrame:
-    """Holes filled ring by ring from the state before each round, until nothing changes.
+def fill_jacobi(raster: DataFrame, v: str = "v", cls: str | None = "cls", water: int = 9, by: tuple[str, ...] = ()) -> DataFrame:
+    """Holes filled ring by ring from the state before each round, until nothing changes; tile by tile if `by` names one.
 
-    Water pixels take the raster's minimum first, and so do holes that no value reaches; a raster without
-    any value becomes zeros. Each round is written to the shared folder and costs one pass; rounds are as
-    many as the widest hole's radius.
+    Water pixels take the tile's minimum first, and so do holes that no value reaches; a tile without any value
+    becomes zeros. Each round is written to the shared folder and costs one pass over the tiles that still have
+    holes that values reach; rounds are as many as the widest hole's radius.
     """
-    least = raster.agg(F.min(v)).first()[0]
-    if least is None:
-        return raster.withColumn(v, F.lit(0.0))
-    least = float(least)
-    now = raster if cls is None else raster.withColumn(v, F.when(F.col(cls) == water, F.lit(least)).otherwise(F.col(v)))
-    holes, now = None, written(now, "fill")
-    for _ in range(most):
-        left = now.filter(F.col(v).isNull()).count()
-        if left in (0, holes):
+    names = [*raster.columns, "least_"]
+    least = raster.groupBy(*by).agg(F.min(v).alias("least_"))
+    now = raster.join(least, list(by)) if by else raster.crossJoin(F.broadcast(least))  # one row
+    value = F.col(v) if cls is None else F.when(F.col(cls) == water, F.col("least_")).otherwise(F.col(v))
+    now = written(now.withColumn(v, F.when(F.col("least_").isNull(), 0.0).otherwise(value)).select(names), "fill")
+    done = None
+    while True:
+        holes = now.groupBy(*by).agg(F.count_if(F.col(v).isNull()).alias("holes_"))
+        left, whole = holes.agg(F.sum("holes_"), F.count_if(F.col("holes_") == 0)).first()
+        if not left:
             break
-        holes = left
+        if by and whole:  # tiles without holes are done
+            open_ = written(holes.filter("holes_ > 0").drop("holes_"), "open")
+            rest, now = (now.join(open_, list(by), how) for how in ("left_anti", "left_semi"))
+            done = rest if done is None else done.unionByName(rest)
         known = F.filter("near", lambda n: n.isNotNull())
         mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
-        step = written(neighbours(now, v).withColumn(v, F.coalesce(F.col(v), mean)).drop("near"), "fill")
-        discard(now)
+        step = written(neighbours(now, v, by).withColumn(v, F.coalesce(F.col(v), mean)).select(names), "fill")
+        stuck = step.filter(F.col(v).isNull()).count() == left
+        if not by:
+            discard(now)
         now = step
-    return now.withColumn(v, F.coalesce(F.col(v), F.lit(least)))
+        if stuck:
+            break
+    out = now if done is None else done.unionByName(now)
+    return out.withColumn(v, F.coalesce(F.col(v), F.col("least_"))).drop("least_")
 
 
 def fill_in_place(raster: DataFrame, window: int = 3, by: str = "tile_id") -> DataFrame:

@@ -32,10 +32,8 @@ def calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
 
 
 def fan_out(tasks: DataFrame, times: DataFrame, most: int = 100_000) -> DataFrame:
-    """One row for each task and snapshot; the snapshots, a driver-generated range, are checked and broadcast."""
-    if times.count() > most:
-        raise ValueError(f"more than {most} snapshots to broadcast")
-    return tasks.crossJoin(F.broadcast(times))
+    """One row for each task and snapshot, all of them wanted; up to `most` snapshots are broadcast, more are shuffled."""
+    return tasks.crossJoin(F.broadcast(times) if times.count() <= most else times)
 
 
 def snapshot_json(times: DataFrame) -> DataFrame:

@@ -58,6 +58,22 @@ def zonal_slope(raster: DataFrame, size: int, method: str) -> DataFrame:
     return cells(raster, size).groupBy("i", "j").agg(slope_stat(method).alias("slope"))
 
 
+def zonal_slope_on_grid(raster: DataFrame, geo: tuple, bounds: tuple, size: float, method: str) -> DataFrame:
+    """The cells of `grid` over bounds (minx, miny, maxx, maxy) with the slope of the pixels whose centres they hold.
+
+    A geo is (x0, y1, res). Cells start at the lower left corner, partial ones are dropped and pixels in them
+    with it; cells without pixels have 0. The cell is arithmetic on the centre, so only sums are shuffled.
+    """
+    (x0, y1, res), (minx, miny, maxx, maxy) = geo, bounds
+    out = grid(raster.sparkSession, minx, miny, maxx, maxy, size)
+    cols, rows = int((maxx - minx) // size), int((maxy - miny) // size)
+    x, y = px.pixel_center("row", "col", x0, y1, res)
+    at = {"i": F.floor((x - minx) / size).cast("int"), "j": F.floor((y - miny) / size).cast("int")}
+    inside = raster.withColumns(at).filter(F.col("i").between(0, cols - 1) & F.col("j").between(0, rows - 1))
+    found = inside.groupBy("i", "j").agg(slope_stat(method).alias("slope"))
+    return out.join(found, ["i", "j"], "left").fillna(0.0, ["slope"])
+
+
 def weighted_mean(boxes: DataFrame, raster: DataFrame, res: float = 1.0) -> DataFrame:
     """boxes (i, j, minx..maxy, y growing with row) with the coverage-weighted mean of the pixels they touch.
 
