@@ -6,6 +6,7 @@ import json
 import platform
 import struct
 import sys
+import zlib
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions.pixels import clean
+from terraloom.operators.align import blocks, mosaic, source_resolution
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -40,12 +42,20 @@ def read_mapping(text: str, kind: type = int) -> dict[int, float]:
 
 
 def read_lighting(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, tile, feature, triangle, lighted) of `;` separated results in a folder tree."""
+    """(file, pos, tile, feature, triangle, lighted) of `;` separated results in a folder tree.
+
+    pos orders the rows of a file, also of one that is read in several splits.
+    """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path, sep=";", header=True)
     names = raw.columns
     number = lambda i: F.expr(f"try_cast(`{names[i]}` as int)")
     lit = F.lower(F.trim(F.col(f"`{names[4]}`"))) == "true"
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), number(0).alias("tile"), number(1).alias("feature"), number(2).alias("triangle"), F.coalesce(lit, F.lit(False)).alias("lighted"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), _file_order().alias("pos"), number(0).alias("tile"), number(1).alias("feature"), number(2).alias("triangle"), F.coalesce(lit, F.lit(False)).alias("lighted"))
+
+
+def _file_order():
+    """The split's first byte, then the row's number in its task: a file's splits may be read anywhere, each in order."""
+    return F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -59,44 +69,159 @@ def read_raster(spark: SparkSession, path: str, *nodata: float) -> DataFrame:
     return pixels.withColumn("v", clean("v", *nodata))
 
 
-# --- TIFF: uncompressed, single-band, in strips ------------------------------------------------------------
+# --- TIFF: strips or tiles, any number of bands, plain, LZW or deflated --------------------------------------
 
-# TIFF tag numbers, and sample formats by (format, bits).
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS_STRIP, COUNTS, FORMAT, SCALE, TIEPOINT, NODATA = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113
-SAMPLES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-_SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
+# TIFF tag numbers, compressions, and sample formats by (format, bits).
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, BANDS, ROWS_STRIP, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT, SCALE, TIEPOINT, GEOKEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
+PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+SAMPLES = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (1, 32): "u4", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+_SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 
 
-def parse_tiff(data: bytes) -> dict:
-    """values, x0, y1, res and nodata of a TIFF file's first image."""
+def lzw_decode(data: bytes) -> bytes:
+    """A strip's bytes: codes of 9 to 12 bits, high bit first; 256 starts the table anew, 257 ends."""
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, last = list(single), [], None
+    held = bits = 0
+    width = 9
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(single), 9, None
+            continue
+        if code > len(table) or last is None and code > 255:
+            raise ValueError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last is not None:
+            table.append(last + entry[:1])
+            # The reader is one entry behind the writer, whose codes widen one early.
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        last = entry
+    return b"".join(out)
+
+
+def lzw_encode(data: bytes) -> bytes:
+    """Bytes as LZW codes; the table starts anew once 12 bits are full."""
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code: int, width: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 0xFF)
+        held &= (1 << bits) - 1
+
+    table: dict[tuple[int, int], int] = {}
+    size, width, now = 258, 9, None
+    put(256, 9)
+    for byte in data:
+        if now is None:
+            now = byte
+        elif (now, byte) in table:
+            now = table[(now, byte)]
+        else:
+            put(now, width)
+            table[(now, byte)] = size
+            size, now = size + 1, byte
+            if size == 4094:
+                put(256, width)
+                table, size, width = {}, 258, 9
+            else:
+                width = max(9, size.bit_length())
+    if now is not None:
+        put(now, width)
+        width = max(9, min(12, (size + 1).bit_length()))
+    put(257, width)
+    if bits:
+        put(0, 8 - bits)
+    return bytes(out)
+
+
+def _unpacked(data: bytes, compression: int) -> bytes:
+    if compression == PLAIN:
+        return data
+    if compression == LZW:
+        return lzw_decode(data)
+    if compression in (DEFLATE, OLD_DEFLATE):
+        return zlib.decompress(data)
+    raise ValueError(f"TIFF compression {compression} is not read")
+
+
+def _tags(data: bytes) -> tuple[str, dict]:
+    """Byte order and tags of a file's first image; 64-bit files have wider counts and places."""
     end = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if end is None or struct.unpack(end + "H", data[2:4])[0] != 42:
+    magic = struct.unpack(end + "H", data[2:4])[0] if end and len(data) >= 8 else 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack(end + "I", data[4:8])[0]
+    wide = magic == 43
+    number, entry, inline = ("Q", 20, 8) if wide else ("I", 12, 4)
+    at = struct.unpack_from(end + number, data, 8 if wide else 4)[0]
+    n, at = struct.unpack_from(end + ("Q" if wide else "H"), data, at)[0], at + (8 if wide else 2)
     tags = {}
-    for k in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(end + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+    for place in range(at, at + n * entry, entry):
+        tag, kind, count = struct.unpack_from(end + "HH" + number, data, place)
         if kind not in _SIZES:
             continue
-        size = struct.calcsize(_SIZES[kind]) * n
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack(end + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-        raw = data[place : place + size]
-        tags[tag] = raw.rstrip(b"\0").decode() if kind == 2 else struct.unpack(f"{end}{n}{_SIZES[kind]}", raw)
-    if tags.get(COMPRESSION, (1,))[0] != 1:
-        raise ValueError("compressed TIFF files are not read")
-    kind = SAMPLES[(tags.get(FORMAT, (1,))[0], tags[BITS][0])]
-    body = b"".join(data[o : o + n] for o, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-    values = np.frombuffer(body, end + kind).reshape(tags[HEIGHT][0], tags[WIDTH][0])
+        size = struct.calcsize("=" + _SIZES[kind]) * count
+        value = place + entry - inline
+        value = value if size <= inline else struct.unpack_from(end + number, data, value)[0]
+        raw = data[value : value + size]
+        tags[tag] = raw.rstrip(b"\0").decode("ascii", "replace") if kind == 2 else struct.unpack(end + _SIZES[kind] * count if kind == 5 else f"{end}{count}{_SIZES[kind]}", raw)
+    return end, tags
+
+
+def parse_tiff(data: bytes) -> dict:
+    """values (rows, columns, or with bands last), x0, y1, res and nodata of a TIFF file's first image."""
+    end, tags = _tags(data)
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    width, height, bands, planar = one(WIDTH, 0), one(HEIGHT, 0), one(BANDS, 1), one(PLANAR, 1) == 2
+    kind = SAMPLES.get((one(FORMAT, 1), one(BITS, 1)))
+    if kind is None:
+        raise ValueError(f"TIFF samples of format {one(FORMAT, 1)} and {one(BITS, 1)} bits are not read")
+    tiled, deep = TILE_OFFSETS in tags, 1 if planar else bands
+    w, h = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(height, one(ROWS_STRIP, height)))
+    across, down = -(-width // w), -(-height // h)
+    values = np.empty((height, width, bands), kind)
+    for k, (o, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)):
+        plane, (r, c) = k // (across * down), divmod(k % (across * down), across)
+        rows = h if tiled else min(h, height - r * h)
+        part = np.frombuffer(_unpacked(data[o : o + n], one(COMPRESSION, PLAIN)), end + kind, rows * w * deep).reshape(rows, w, deep)
+        if one(PREDICTOR, 1) == 2:
+            part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
+        elif one(PREDICTOR, 1) != 1:
+            raise ValueError("TIFF predictors of floating point are not read")
+        part = part[: height - r * h, : width - c * w]
+        values[r * h : r * h + part.shape[0], c * w : c * w + part.shape[1], slice(plane, plane + 1) if planar else slice(None)] = part
     tie, scale = tags.get(TIEPOINT, (0,) * 6), tags.get(SCALE, (1.0, 1.0, 0.0))
-    return {"values": values, "x0": tie[3] - tie[0] * scale[0], "y1": tie[4] + tie[1] * scale[1], "res": scale[0], "nodata": float(tags[NODATA]) if NODATA in tags else None}
+    return {"values": values[:, :, 0] if bands == 1 else values, "x0": tie[3] - tie[0] * scale[0], "y1": tie[4] + tie[1] * scale[1], "res": source_resolution(scale[0], scale[1]), "nodata": float(tags[NODATA]) if tags.get(NODATA) else None}
 
 
-def build_tiff(values: np.ndarray, x0: float = 0.0, y1: float = 0.0, res: float = 1.0, nodata: float | None = None) -> bytes:
-    """A little-endian uncompressed TIFF file with georeference and nodata tags."""
+def build_tiff(values: np.ndarray, x0: float = 0.0, y1: float = 0.0, res: float = 1.0, nodata: float | None = None, compress: bool = False, epsg: int | None = None) -> bytes:
+    """A little-endian TIFF file of one band or, with a third axis, several; with georeference and nodata tags, LZW if asked for."""
+    cube = values[:, :, None] if values.ndim == 2 else values
     fmt, bits = next(k for k, v in SAMPLES.items() if v == values.dtype.str[1:])
-    body = np.ascontiguousarray(values).astype(values.dtype.newbyteorder("<")).tobytes()
-    text = b"" if nodata is None else f"{nodata:g}".encode() + b"\0"
-    entries = [(WIDTH, 4, (values.shape[1],)), (HEIGHT, 4, (values.shape[0],)), (BITS, 3, (bits,)), (COMPRESSION, 3, (1,)), (OFFSETS, 4, (8,)), (ROWS_STRIP, 4, (values.shape[0],)), (COUNTS, 4, (len(body),)), (FORMAT, 3, (fmt,)), (SCALE, 12, (res, res, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, x0, y1, 0.0))]
+    height, width, bands = cube.shape
+    rows = max(1, min(height, (1 << 16) // max(1, width * bands * values.dtype.itemsize)))
+    plain = [np.ascontiguousarray(cube[r : r + rows]).astype(values.dtype.newbyteorder("<")).tobytes() for r in range(0, height, rows)]
+    strips = [lzw_encode(x) for x in plain] if compress else plain
+    counts = [len(x) for x in strips]
+    body, starts = b"".join(strips), [8 + sum(counts[:i]) for i in range(len(counts))]
+    text = b"" if nodata is None else f"{nodata:.17g}".encode() + b"\0"
+    entries = [
+        (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (bits,) * bands), (COMPRESSION, 3, (LZW if compress else PLAIN,)), (PHOTOMETRIC, 3, (1,)), (OFFSETS, 4, starts), (BANDS, 3, (bands,)), (ROWS_STRIP, 4, (rows,)),
+        (COUNTS, 4, counts), (PLANAR, 3, (1,)), (FORMAT, 3, (fmt,) * bands), (SCALE, 12, (res, res, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, x0, y1, 0.0)),
+    ]
+    if epsg:  # a projected system, pixels as areas
+        entries.append((GEOKEYS, 3, (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)))
     if text:
         entries.append((NODATA, 2, text))
     at = 8 + len(body) + len(body) % 2
@@ -104,47 +229,85 @@ def build_tiff(values: np.ndarray, x0: float = 0.0, y1: float = 0.0, res: float
     table = struct.pack("<H", len(entries))
     for tag, kind, v in entries:
         raw = v if kind == 2 else struct.pack(f"<{len(v)}{_SIZES[kind]}", *v)
-        n = len(v)
+        table += struct.pack("<HHI", tag, kind, len(v))
         if len(raw) > 4:
-            table += struct.pack("<HHII", tag, kind, n, after + len(extra))
+            table += struct.pack("<I", after + len(extra))
             extra += raw + b"\0" * (len(raw) % 2)
         else:
-            table += struct.pack("<HHI", tag, kind, n) + raw.ljust(4, b"\0")
+            table += raw.ljust(4, b"\0")
     return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + table + b"\0\0\0\0" + extra
 
 
-def read_tiff(spark: SparkSession, path: str, nodata_as: float | None = None) -> DataFrame:
-    """(tile_id, row, col, v, x0, y1, res): pixels of every .tif under a folder, one file a task's unit.
+def _tiff_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif*").load(path).select("path", "content")
 
-    Missing values are NULL, or `nodata_as` (a single-tile load of the reference makes them 200).
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif").load(path).select("path", "content")
+
+def _pixels(bands: bool):
+    """Frames of files to frames of pixels, some rows of a raster at a time."""
 
     def pixels(frames):
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 t = parse_tiff(bytes(content))
-                v = t["values"].astype(float)
-                if t["nodata"] is not None:
-                    v = np.where(v == t["nodata"], np.nan, v)
-                rows, cols = np.indices(v.shape)
-                yield pd.DataFrame({"tile_id": name.rsplit("/", 1)[-1], "row": rows.ravel().astype(np.int32), "col": cols.ravel().astype(np.int32), "v": v.ravel(), "x0": t["x0"], "y1": t["y1"], "res": t["res"]})
+                cube = t["values"] if t["values"].ndim == 3 else t["values"][:, :, None]
+                rows = max(1, 200_000 // max(1, cube.shape[1] * (cube.shape[2] if bands else 1)))
+                for lo in range(0, cube.shape[0], rows):
+                    part = cube[lo : lo + rows].astype(float)
+                    if t["nodata"] is not None:
+                        part = np.where(part == t["nodata"], np.nan, part)
+                    r, c = np.indices(part.shape[:2])
+                    v = list(part.reshape(-1, part.shape[2]).astype(np.float32)) if bands else part[:, :, 0].ravel()
+                    yield pd.DataFrame({"tile_id": name.rsplit("/", 1)[-1], "row": (r.ravel() + lo).astype(np.int32), "col": c.ravel().astype(np.int32), "v": v, "x0": t["x0"], "y1": t["y1"], "res": t["res"]})
 
-    out = files.mapInPandas(pixels, "tile_id string, row int, col int, v double, x0 double, y1 double, res double")
+    return pixels
+
+
+def read_tiff(spark: SparkSession, path: str, nodata_as: float | None = None) -> DataFrame:
+    """(tile_id, row, col, v, x0, y1, res): the first band of every TIFF file under a folder, one file a task's unit.
+
+    Missing values are NULL, or `nodata_as` (a single-tile load of the reference makes them 200).
+    """
+    out = _tiff_files(spark, path).mapInPandas(_pixels(False), "tile_id string, row int, col int, v double, x0 double, y1 double, res double")
     out = out.withColumn("v", clean("v"))
     return out if nodata_as is None else out.fillna(float(nodata_as), ["v"])
 
 
-def encode_tiff(raster: DataFrame, by: str = "tile_id", dtype: str = "f4", nodata: float = float("nan")) -> DataFrame:
-    """(tile_id, content): one TIFF file's bytes per tile; a tile is bounded and one task's group."""
+def read_tiff_bands(spark: SparkSession, path: str) -> DataFrame:
+    """(tile_id, row, col, probs, x0, y1, res): all bands of every pixel, as class probabilities come."""
+    out = _tiff_files(spark, path).mapInPandas(_pixels(True), "tile_id string, row int, col int, v array<float>, x0 double, y1 double, res double")
+    return out.withColumnRenamed("v", "probs")
+
+
+def read_mosaic(spark: SparkSession, path: str, nodata: float = -9999.0) -> DataFrame:
+    """(row, col, v, x0, y1, res): all tiles of a folder on one grid, the first tile by name winning; missing pixels are `nodata`.
+
+    The grid's corner is the tiles' outermost one; only the tiles' corners, one row a file, are reduced for it.
+    """
+    tiles = read_tiff(spark, path)
+    corner = tiles.agg(F.min("x0").alias("left"), F.max("y1").alias("top"))
+    shift = lambda a: F.round(a / F.col("res")).cast("int")
+    at = tiles.crossJoin(F.broadcast(corner))  # one row
+    at = at.withColumns({"row": F.col("row") + shift(F.col("top") - F.col("y1")), "col": F.col("col") + shift(F.col("x0") - F.col("left"))})
+    one = mosaic(at)
+    geo = at.agg(F.first("left").alias("x0"), F.first("top").alias("y1"), F.first("res").alias("res"))
+    return one.fillna(float(nodata), ["v"]).crossJoin(F.broadcast(geo))
+
+
+def encode_tiff(raster: DataFrame, by: str = "tile_id", dtype: str = "f4", nodata: float = float("nan"), compress: bool = True, epsg: int | None = None) -> DataFrame:
+    """(tile_id, content): one TIFF file's bytes per tile, at the place that x0, y1 and res say if the raster has them.
+
+    A tile is bounded and one task's group.
+    """
+    geo = [c for c in ("x0", "y1", "res") if c in raster.columns]
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         grid = np.full((frame["row"].max() + 1, frame["col"].max() + 1), nodata, dtype)
         some = frame["v"].notna()
         grid[frame["row"][some], frame["col"][some]] = frame["v"][some]
-        return pd.DataFrame({by: [frame[by].iloc[0]], "content": [build_tiff(grid, nodata=nodata)]})
+        place = {c: float(frame[c].iloc[0]) for c in geo}
+        return pd.DataFrame({by: [frame[by].iloc[0]], "content": [build_tiff(grid, **place, nodata=nodata, compress=compress, epsg=epsg)]})
 
-    return raster.select(by, "row", "col", "v").groupBy(by).applyInPandas(build, f"{by} string, content binary")
+    return raster.select(by, "row", "col", "v", *geo).groupBy(by).applyInPandas(build, f"{by} string, content binary")
 
 
 # --- LAS: uncompressed point files ----------------------------------------------------------------------
@@ -194,8 +357,6 @@ def shapefile_columns(table: DataFrame, renames: Mapping[str, str]) -> DataFrame
 
 def write_blocks(raster: DataFrame, path: str, size: int = 256) -> None:
     """Pixels as Parquet clustered by block, so that a window reads few files."""
-    from terraloom.operators.align import blocks
-
     blocks(raster, size).repartition("block_row", "block_col").sortWithinPartitions("block_row", "block_col", "row", "col").write.partitionBy("block_row").parquet(path)
 
 

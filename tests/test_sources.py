@@ -55,10 +55,94 @@ def test_tiff_round_trip(spark, tmp_path):
     assert {r.v for r in files.read_tiff(spark, str(tmp_path), 200).collect()} == {1.0, 3.0, 200.0}
     back = files.encode_tiff(files.read_tiff(spark, str(tmp_path))).first()
     assert np.isnan(files.parse_tiff(bytes(back.content))["values"][0, 1])
+    placed = files.read_tiff(spark, str(tmp_path)).withColumns({"x0": F.lit(7.0), "y1": F.lit(9.0), "res": F.lit(0.5)})
+    t = files.parse_tiff(bytes(files.encode_tiff(placed, epsg=2154).first().content))
+    assert (t["x0"], t["y1"], t["res"]) == (7.0, 9.0, 0.5)
     with pytest.raises(ValueError):
         files.parse_tiff(b"no")
 
 
+@pytest.mark.parametrize("size", [0, 1, 2, 300, 5000, 70_000])
+def test_lzw_round_trip(size):
+    rng = np.random.default_rng(size)
+    for data in (rng.integers(0, 256, size, np.uint8), rng.integers(0, 3, size, np.uint8), np.zeros(size, np.uint8)):
+        assert files.lzw_decode(files.lzw_encode(data.tobytes())) == data.tobytes()
+
+
+def test_lzw_of_the_published_example():
+    """The TIFF 6.0 description's own string, code by code: clear, 7, 258, 8, 8, 258, 6, 6, end."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert files.lzw_decode(packed) == data and files.lzw_encode(data) == packed
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_tiff_of_many_bands(spark, tmp_path, compress):
+    """Nineteen bands, more than one strip, and what the readers make of them."""
+    cube = np.random.default_rng(3).random((70, 60, 19)).astype("f4")
+    data = files.build_tiff(cube, 100.0, 200.0, 0.2, compress=compress)
+    assert (files.parse_tiff(data)["values"] == cube).all()
+    (tmp_path / "p.tif").write_bytes(data)
+    rows = files.read_tiff_bands(spark, str(tmp_path)).collect()
+    assert len(rows) == 4200 and all(np.array_equal(np.array(r.probs, "f4"), cube[r.row, r.col]) for r in rows[::97])
+    assert {(r.row, r.col): r.v for r in files.read_tiff(spark, str(tmp_path)).filter("row = 3").collect()}[(3, 5)] == cube[3, 5, 0]
+
+
+def _tiled(values, wide, predictor):
+    """A tiled, deflated file as other writers make them, in 64-bit form if asked for."""
+    import zlib
+
+    height, width = values.shape
+    tiles = []
+    for r in range(0, height, 16):
+        for c in range(0, width, 16):
+            t = np.zeros((16, 16), values.dtype)
+            part = values[r : r + 16, c : c + 16]
+            t[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                t[:, 1:] = t[:, 1:] - t[:, :-1]
+            tiles.append(zlib.compress(t.tobytes()))
+    start, number, kind = (16, "Q", 16) if wide else (8, "I", 4)
+    places = [start + sum(map(len, tiles[:i])) for i in range(len(tiles))]
+    entries = [(256, 3, [width]), (257, 3, [height]), (258, 3, [16]), (259, 3, [8]), (317, 3, [predictor]), (322, 3, [16]), (323, 3, [16]), (324, kind, places), (325, kind, [len(t) for t in tiles]), (339, 3, [1])]
+    body = b"".join(tiles)
+    at = start + len(body)
+    after = at + (8 + 20 * len(entries) + 8 if wide else 2 + 12 * len(entries) + 4)
+    table, extra = struct.pack("<Q" if wide else "<H", len(entries)), b""
+    for tag, k, v in entries:
+        raw = struct.pack(f"<{len(v)}{ {3: 'H', 4: 'I', 16: 'Q'}[k]}", *v)
+        table += struct.pack("<HH" + number, tag, k, len(v))
+        if len(raw) > (8 if wide else 4):
+            table += struct.pack("<" + number, after + len(extra))
+            extra += raw
+        else:
+            table += raw.ljust(8 if wide else 4, b"\0")
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if wide else struct.pack("<2sHI", b"II", 42, at)
+    return head + body + table + b"\0" * (8 if wide else 4) + extra
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_tiled_tiff(wide, predictor):
+    values = np.random.default_rng(1).integers(0, 60_000, (37, 50)).astype("u2")
+    assert (files.parse_tiff(_tiled(values, wide, predictor))["values"] == values).all()
+
+
+def test_mosaic_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(files.build_tiff(np.array([[1, 2], [3, -1]], "f4"), 10.0, 20.0, 1.0, -1, compress=True))
+    (tmp_path / "b.tif").write_bytes(files.build_tiff(np.array([[5, 6]], "f4"), 11.0, 19.0, 1.0, -1))
+    rows = files.read_mosaic(spark, str(tmp_path)).collect()
+    assert {(r.row, r.col): r.v for r in rows} == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 3.0, (1, 1): 5.0, (1, 2): 6.0}
+    assert {(r.x0, r.y1, r.res) for r in rows} == {(10.0, 20.0, 1.0)}
+    (tmp_path / "b.tif").write_bytes(files.build_tiff(np.array([[-1, 6]], "f4"), 11.0, 19.0, 1.0, -1))
+    assert {(r.row, r.col): r.v for r in files.read_mosaic(spark, str(tmp_path)).collect()}[(1, 1)] == -9999.0
+    assert align.source_resolution(0.2, -0.2) == 0.2
+    with pytest.raises(ValueError):
+        align.source_resolution(0.2, 0.3)
+
+
 def test_las(spark, tmp_path):
     points_ = [(100, 200, 300, 5), (110, 190, 310, 2)]
     body = b"".join(struct.pack("<iiiHBBbBH", x, y, z, 0, 0, c, 0, 0, 0) for x, y, z, c in points_)
@@ -105,6 +189,8 @@ def test_sun_position_meets_published_example(spark):
 def test_annual_lines(spark):
     sun = solar.ephemeris(timegen.calendar(spark, 2024, 2024).filter("date = '2024-06-21'"), 45.76, 4.85)
     line = solar.annual_lines(sun).first().line.split(";")
+    whole = [r.line for r in solar.annual_file(sun, 45.76, 4.85).collect()]
+    assert whole[0].startswith("45.76;4.85;E 00:00:00;A 00:00:00;E 01:00:00") and len(whole[0].split(";")) == 50 and whole[1].split(";")[1:3] == ["--", "--"]
     assert len(line) == 49 and line[0] == "2024-06-21" and line[1] == "--" and float(line[25]) > 60
     assert len(solar.annual_lines(sun, compat=True).first().line.split(";")) == 51
 
