@@ -101,11 +101,14 @@ def classify_heights(h, mask, low: float, medium: float) -> Column:
 
 
 def vegetation_map(cls, h, mask, image_map, lidar=(0.30, 5.0), image=(0.75, 5.0), modify_image_map: bool = True, keep_class1: bool = False) -> tuple[Column, Column]:
-    """(LiDAR map, image map). Without modify_image_map the image map passes through unchanged."""
-    veg = vegetation_mask(cls)
-    first = veg | class1_mask(cls, mask) if keep_class1 else veg
-    second = classify_heights(h, first, *image) if modify_image_map else col(image_map)
-    return classify_heights(h, first, *lidar), second
+    """(LiDAR map, image map): heights classed under the points' vegetation, and under the image mask.
+
+    Without modify_image_map the image map passes through unchanged.
+    """
+    points = vegetation_mask(cls)
+    points = points | class1_mask(cls, mask) if keep_class1 else points
+    masked = F.coalesce(col(mask) != IGNORE, F.lit(False))
+    return classify_heights(h, points, *lidar), classify_heights(h, masked, *image) if modify_image_map else col(image_map)
 
 
 def fuse(lidar, image_map, everywhere: bool = True) -> Column:
@@ -157,6 +160,24 @@ def percent(mean) -> Column:
     return F.coalesce(col(mean), F.lit(0.0)) / 100
 
 
+def rounded(x, digits: int) -> Column:
+    """x to so many decimals, by the exact value of the double, halves to even; NULL stays NULL.
+
+    F.round takes halves of the shortest decimal text upwards, which differs: 0.0625 is 0.062 here, 2.675 is 2.67.
+    Twice the scaled value is compared with the odd number in the middle, in two parts that are each exact.
+    """
+    x, scale = col(x).cast("double"), 10.0**digits
+    size = F.abs(x)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    low, k = size - high, F.floor(size * scale).cast("double")
+    over = lambda whole: (high * (2 * scale) - whole) + low * (2 * scale)
+    k = F.when(over(2 * k) < 0, k - 1).when(over(2 * k + 2) >= 0, k + 1).otherwise(k)
+    half = over(2 * k + 1)
+    up = (half > 0) | ((half == 0) & (k % 2 == 1))
+    out = (k + up.cast("int")) / scale
+    return F.when(F.signum(x) < 0, -out).otherwise(out)
+
+
 # --- georeference and names ------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.functions import pixels as px
+
 
 def confusion(pairs: DataFrame, n: int, empty: int | None = None) -> DataFrame:
     """(ref, pred, n) for every pair of the n classes; a missing class is the empty one, or left out.
@@ -19,7 +21,7 @@ def confusion(pairs: DataFrame, n: int, empty: int | None = None) -> DataFrame:
     counts = counts.select(F.when(ok, F.col("ref")).otherwise(F.raise_error(F.lit("class out of range"))).alias("ref"), "pred", "c")
     ids = F.sequence(F.lit(0), F.lit(n - 1))
     dense = pairs.sparkSession.range(1).select(F.explode(ids).alias("ref")).select("ref", F.explode(ids).alias("pred"))
-    return F.broadcast(dense).join(counts, ["ref", "pred"], "left").select("ref", "pred", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
+    return dense.join(counts, ["ref", "pred"], "left").select("ref", "pred", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
 
 
 def percent(cm: DataFrame) -> DataFrame:
@@ -47,9 +49,23 @@ def summary(per_class: DataFrame, names: dict[int, str], excluded: tuple[str, ..
     return kept.agg(*(F.avg(c).alias(f"mean_{c}") for c in ("iou", "precision", "recall", "dice")))
 
 
-def report(per_class: DataFrame, names: dict[int, str]) -> DataFrame:
-    """One fixed-width line per class."""
+METRICS = ("iou", "precision", "recall", "dice")
+# The report's titles and widths.
+TITLE, MEANS = "==== Segmentation Performance Report ====", "==== Global Means (excluding 'Autre') ===="
+HEADINGS, WIDTHS = ("IoU", "Precision", "Recall", "Dice"), (10, 15, 15, 15)
+
+
+def report(per_class: DataFrame, names: dict[int, str], excluded: tuple[str, ...] = ("Autre",)) -> DataFrame:
+    """(pos, line): the report's lines in order: a heading, a line of fixed widths per class, and the means."""
     name = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("class_id"))
-    number = lambda c: F.when(F.col(c).isNull(), "       nan").otherwise(F.format_string("%10.4f", c))
-    line = F.concat(F.format_string("%-20s", name), *(number(c) for c in ("iou", "precision", "recall", "dice")))
-    return per_class.select("class_id", line.alias("line"))
+    text = lambda c: F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%.3f", px.rounded(c, 3)))
+    line = F.concat(F.rpad(name, F.greatest(F.length(name), F.lit(20)), F.lit(" ")), *(F.lpad(text(c), w, " ") for c, w in zip(METRICS, WIDTHS, strict=True)))
+    heading = "Class".ljust(20) + "".join(h.rjust(w) for h, w in zip(HEADINGS, WIDTHS, strict=True))
+    first = [TITLE, "", heading, "-" * 75]
+    fixed = lambda lines, at: per_class.sparkSession.createDataFrame([(at + i, x) for i, x in enumerate(lines)], "pos int, line string")
+    body = per_class.select((F.col("class_id") + len(first)).cast("int").alias("pos"), line.alias("line"))
+    last = len(first) + max(names) + 1
+    means = summary(per_class, names, excluded).select(F.explode(F.array(*(
+        F.struct(F.lit(last + 2 + i).alias("pos"), F.concat(F.lit(f"Mean {h}".ljust(15) + ": "), text(f"mean_{c}")).alias("line")) for i, (h, c) in enumerate(zip(HEADINGS, METRICS, strict=True))
+    ))).alias("m")).select("m.*")
+    return fixed(first, 0).unionByName(body).unionByName(fixed(["", MEANS], last)).unionByName(means)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions.pixels import daylight
+from terraloom.functions.pixels import daylight, rounded
 
 
 def _sin(c: Column) -> Column:
@@ -54,12 +54,30 @@ def ephemeris(hours: DataFrame, latitude: float, longitude: float, annual: bool
     return out.withColumns({"azimuth": F.when(up, F.col("azimuth")), "elevation": F.when(up, F.col("elevation"))})
 
 
+#: What ends a line of the annual file.
+LINE_END = ";\r\n"
+
+
+def annual_header(latitude: float, longitude: float) -> str:
+    """The annual file's first line: the site, then elevation and azimuth of every hour."""
+    return ";".join([str(latitude), str(longitude), *(f"{c} {hour:02d}:00:00" for hour in range(24) for c in "EA")])
+
+
+def annual_file(sun: DataFrame, latitude: float, longitude: float, compat: bool = True) -> DataFrame:
+    """(line) in order, in one partition: the header and a line a day, as the annual file holds them.
+
+    Write it with `.write.option("lineSep", LINE_END).text(path)`. A day is one row of about 400 characters.
+    """
+    header = sun.sparkSession.createDataFrame([("", annual_header(latitude, longitude))], "date string, line string")
+    return header.unionByName(annual_lines(sun, compat)).repartition(1).sortWithinPartitions("date").select("line")
+
+
 def annual_lines(sun: DataFrame, compat: bool = False) -> DataFrame:
     """(date, line): the wide day lines, `;` between and `--` where there is no sun.
 
     compat adds the two placeholders that put the reference's rows one column over its header.
     """
-    text = lambda c: F.when(F.col(c).isNull(), "--").otherwise(F.format_string("%.2f", c))
+    text = lambda c: F.when(F.col(c).isNull(), "--").otherwise(rounded(c, 2).cast("string"))
     hours = F.array_sort(F.collect_list(F.struct("hour", F.concat_ws(";", text("elevation"), text("azimuth")).alias("t"))))
     days = sun.groupBy("date").agg(F.concat_ws(";", F.transform(hours, lambda h: h["t"])).alias("t"))
     return days.select("date", F.concat_ws(";", "date", *([F.lit("--"), F.lit("--")] if compat else []), "t").alias("line"))
