@@ -12,6 +12,7 @@ from terraloom.plans import proxies, settings
 from terraloom.plans.proxies import DEM, POINTS, PROB
 from terraloom.session import load
 from terraloom.sources import files
+from terraloom.sources.tables import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,7 +105,7 @@ def _fused(everywhere, modify):
         return b.select("row", "col", "lidar", "image", px.three_to_two("image").alias("image2"), px.fuse("lidar", "image", everywhere).alias("fused"))
 
     mask = "(cls IN (3, 4, 5, 8) OR (cls = 1 AND image_map <> 255))"
-    image = _stratum("h", mask, LOW / 2, MEDIUM / 2) if modify else "image_map"
+    image = _stratum("h", "image_map <> 255", LOW / 2, MEDIUM / 2) if modify else "image_map"
     rest = "image" if everywhere else "CASE WHEN image = 0 THEN image END"
     return run, f"""WITH {POINTS}, {PROB}, {_IMAGE_MAP}, m AS (SELECT "row", col, {_stratum("h", mask)} AS lidar, {image} AS image FROM both_)
 SELECT "row", col, lidar, image, CASE WHEN image = 3 THEN 2 ELSE image END AS image2, CASE WHEN lidar IN (0, 1, 2) THEN lidar ELSE {rest} END AS fused FROM m"""
@@ -190,7 +191,7 @@ def overlap_confusion(spark, sf):
 UNION ALL SELECT 'c' AS tile_id, "row" + 1 AS "row", col + 1 AS col, v + 1 AS v FROM dem)
 SELECT "row", col, first(v ORDER BY tile_id) FILTER (WHERE v IS NOT NULL) AS v FROM t GROUP BY "row", col""")
 def mosaic_first(spark, sf):
-    d = proxies.dem(spark, sf)
+    d = written(proxies.dem(spark, sf), "dem")
     first = d.select(F.when(F.col("cls") % 2 == 0, "a").otherwise("b").alias("tile_id"), "row", "col", F.when(F.col("cls") != 3, F.col("v")).alias("v"))
     shifted = d.select(F.lit("c").alias("tile_id"), (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), (F.col("v") + 1).alias("v"))
     return align.mosaic(first.unionByName(shifted))
@@ -236,7 +237,11 @@ def grid_cells(spark, sf):
 
 
 def _slopes(spark, sf):
-    g = stencil.gradient(proxies.dem(spark, sf))
+    return _slopes_of(proxies.dem(spark, sf))
+
+
+def _slopes_of(dem):
+    g = stencil.gradient(dem)
     rad = px.slope("d_row", "d_col")
     return g.withColumns({"slope_rad": rad, "slope_deg": F.degrees(rad), "x": F.col("col") + 0.5, "y": -(F.col("row") + 0.5), "z": F.col("v")})
 
@@ -254,6 +259,16 @@ for _method, _stat in _STATS.items():
     )(lambda spark, sf, m=_method: zonal.zonal_slope(_slopes(spark, sf), 5, m).withColumn("slope", F.round("slope", 6)))
 
 
+@query(f"""WITH {DEM}, g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM ext, (SELECT unnest(range(0, (SELECT CAST(floor(width / 7) AS INTEGER) FROM ext))) AS i), (SELECT unnest(range(0, (SELECT CAST(floor(height / 7) AS INTEGER) FROM ext))) AS j)),
+s AS (SELECT CAST(floor((col + 0.5) / 7) AS INTEGER) AS i, CAST(floor((height - ("row" + 0.5)) / 7) AS INTEGER) AS j, slope_deg FROM slopes, ext)
+SELECT g.i, g.j, round(coalesce(stddev_pop(slope_deg), 0.0), 6) AS slope FROM g LEFT JOIN s ON g.i = s.i AND g.j = s.j GROUP BY g.i, g.j""")
+def zonal_slope_on_grid(spark, sf):
+    d = written(proxies.dem(spark, sf), "dem")
+    height, width = align.shape(d).first()
+    out = zonal.zonal_slope_on_grid(_slopes_of(d), (0.0, float(height), 1.0), (0.0, 0.0, float(width), float(height)), 7.0, "slope_std_dev")
+    return out.select("i", "j", F.round("slope", 6).alias("slope"))
+
+
 @query(f"""WITH {DEM}, k AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INTEGER) AS j, col + 0.5 AS x, -("row" + 0.5) AS y, v AS z FROM dem),
 s AS (SELECT i, j, count(*) AS n, var_pop(CAST(x AS DOUBLE)) AS sxx, var_pop(CAST(y AS DOUBLE)) AS syy, covar_pop(CAST(x AS DOUBLE), CAST(y AS DOUBLE)) AS sxy, covar_pop(CAST(x AS DOUBLE), z) AS sxz, covar_pop(CAST(y AS DOUBLE), z) AS syz FROM k GROUP BY i, j),
 d AS (SELECT *, sxx * syy - sxy * sxy AS det, sxx + syy AS tr FROM s),
@@ -269,16 +284,17 @@ zm AS (SELECT i, j, sum((least(maxx, col + 1) - greatest(minx, col)) * (least(ma
     FROM box JOIN dem ON col + 1 > minx AND col < maxx AND "row" + 1 > miny AND "row" < maxy GROUP BY i, j)"""
 
 
-def _boxes(spark, sf):
+def _boxes(dem):
     """Boxes of two and a half pixels over the whole raster, a quarter pixel off its edges."""
-    at = proxies.dem(spark, sf).select(F.floor(F.col("col") / 2.5).cast("int").alias("i"), F.floor(F.col("row") / 2.5).cast("int").alias("j")).distinct()
+    at = dem.select(F.floor(F.col("col") / 2.5).cast("int").alias("i"), F.floor(F.col("row") / 2.5).cast("int").alias("j")).distinct()
     edge = lambda c, first: first + F.col(c) * 2.5
     return at.select("i", "j", edge("i", 0.25).alias("minx"), edge("j", 0.25).alias("miny"), edge("i", 2.75).alias("maxx"), edge("j", 2.75).alias("maxy"))
 
 
 @query(f"WITH {DEM}, {_BOXES} SELECT box.i, box.j, round(mean, 6) AS mean FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j")
 def zonal_weighted_mean(spark, sf):
-    return zonal.weighted_mean(_boxes(spark, sf), proxies.dem(spark, sf)).select("i", "j", F.round("mean", 6).alias("mean"))
+    d = written(proxies.dem(spark, sf), "dem")
+    return zonal.weighted_mean(_boxes(d), d).select("i", "j", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH {DEM}, {_BOXES}, im AS (SELECT box.i, box.j, coalesce(mean, 0.0) / 100 / 1200 AS imp FROM box LEFT JOIN zm ON box.i = zm.i AND box.j = zm.j),
@@ -286,8 +302,9 @@ sl AS (SELECT CAST(floor(col / 5) AS INTEGER) AS i, CAST(floor("row" / 5) AS INT
 b AS (SELECT sl.i, sl.j, slope, coalesce(imp, 0.0) AS imp, (slope - min(slope) OVER ()) / nullif(max(slope) OVER () - min(slope) OVER (), 0) AS ns FROM sl LEFT JOIN im ON sl.i = im.i AND sl.j = im.j)
 SELECT i, j, round(imp, 6) AS imperviousness, round(ns, 6) AS normalized_slope, round((1 - imp) * 0.6 + (1 - ns) * 0.4, 6) AS infiltration_index FROM b""")
 def infiltration_index(spark, sf):
-    imp = zonal.weighted_mean(_boxes(spark, sf), proxies.dem(spark, sf)).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
-    s = zonal.zonal_slope(_slopes(spark, sf), 5, "slope_std_dev").join(imp, ["i", "j"], "left").fillna(0.0, ["imp"])
+    d = written(proxies.dem(spark, sf), "dem")
+    imp = zonal.weighted_mean(_boxes(d), d).select("i", "j", (px.percent("mean") / 1200).alias("imp"))
+    s = zonal.zonal_slope(_slopes_of(d), 5, "slope_std_dev").join(imp, ["i", "j"], "left").fillna(0.0, ["imp"])
     s = zonal.min_max(s, "slope", "ns")
     index = px.infiltration("imp", "ns", 0.6)
     return s.select("i", "j", F.round("imp", 6).alias("imperviousness"), F.round("ns", 6).alias("normalized_slope"), F.round(index, 6).alias("infiltration_index"))
@@ -323,9 +340,22 @@ def fill_jacobi(spark, sf):
     return stencil.fill_jacobi(proxies.holed(spark, sf), water=7).select("row", "col", F.round("v", 6).alias("v"))
 
 
+_TILE_ROUND = """f{k} AS (SELECT a.tile, a."row", a.col, coalesce(max(a.v), avg(b.v)) AS v FROM f{j} a LEFT JOIN f{j} b ON a.v IS NULL AND a.tile = b.tile AND b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1
+    GROUP BY a.tile, a."row", a.col)"""
+
+
+@query(f"""WITH {DEM}, tiled AS (SELECT CAST(floor(col / 8) AS INTEGER) AS tile, "row", col, v, cls FROM holed), low AS (SELECT tile, min(v) AS v FROM tiled GROUP BY tile),
+f0 AS (SELECT t.tile, t."row", t.col, CASE WHEN low.v IS NULL THEN 0.0 WHEN t.cls = 7 THEN low.v ELSE t.v END AS v FROM tiled t JOIN low ON t.tile = low.tile),
+{", ".join(_TILE_ROUND.format(k=k, j=k - 1) for k in (1, 2, 3))} SELECT f3.tile, "row", col, round(coalesce(f3.v, low.v), 6) AS v FROM f3 JOIN low ON f3.tile = low.tile""")
+def fill_jacobi_by_tile(spark, sf):
+    tiles = proxies.holed(spark, sf).withColumn("tile", F.floor(F.col("col") / 8).cast("int"))
+    return stencil.fill_jacobi(tiles, water=7, by=("tile",)).select("tile", "row", "col", F.round("v", 6).alias("v"))
+
+
 @query()
 def fill_scan_order(spark, sf):
-    tile = F.floor(F.col("row") / 256).cast("string")
+    """Tiles of 256 x 256 pixels: reading order is sequential within a tile, and a tile is the unit."""
+    tile = F.concat_ws("_", *(F.floor(F.col(c) / 256).cast("string") for c in ("row", "col")))
     return stencil.fill_in_place(proxies.holed(spark, sf).withColumn("tile_id", tile), 3)
 
 

@@ -1,6 +1,7 @@
 """Hand-computed small rasters for each operator, with missing, empty and boundary cases."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -56,7 +57,17 @@ def test_legacy_height_and_class(spark):
     assert values(f.withColumn("v", px.legacy_fuse("lidar", "image_map"))) == [1, 1, 2, 3, 2]
 
 
+def test_rounding_is_by_exact_value(spark):
+    rng = np.random.default_rng(2)
+    xs = [0.0, -0.0, 2.5, 2.675, 0.125, 0.375, -0.125, 1.005, 0.005, -0.004, 359.995, 0.0625, 1e-9, 45.0, *rng.uniform(-360, 360, 3000).tolist(), *(rng.integers(-36000, 36000, 2000) / 200).tolist(), *(rng.integers(-9000, 9000, 1000) / 16).tolist()]
+    f = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for r in f.select("x", px.rounded("x", 2).cast("string").alias("two"), px.rounded("x", 3).alias("three")).collect():
+        assert r.two == str(round(r.x, 2) if r.x else 0.0) and r.three == round(r.x, 3), r
+
+
 def test_vegetation_map(spark):
+    f = layers(spark, cls="2 2 5", h="6 6 6", mask="0 255 255", image_map="1 1 1")  # the image mask alone decides the image map
+    assert values(f.withColumn("v", px.vegetation_map("cls", "h", "mask", "image_map")[1])) == [2, None, None]
     f = layers(spark, cls="5 1; 8 2", h="0.2 2; 6 10", mask="0 0; 0 255", image_map="3 1; 2 0")
     lidar, image = px.vegetation_map("cls", "h", "mask", "image_map", (0.30, 5), (0.75, 5), keep_class1=True)
     assert values(f.withColumn("v", lidar)) == [0, 1, 2, None] and values(f.withColumn("v", image)) == [0, 1, 2, None]
@@ -121,7 +132,7 @@ def test_overlap_confusion(spark):
     cm = {(r.ref, r.pred): r.n for r in evaluate.confusion(pairs, 4, empty=3).collect()}
     assert len(cm) == 16 and {k: v for k, v in cm.items() if v} == {(1, 0): 1, (1, 1): 1, (2, 2): 2}
     with pytest.raises(ValueError):
-        align.require_overlap(align.overlap(ref, pred, (0.0, 4.0, 1.0), (100.0, 3.0, 1.0)))
+        align.overlap(ref, pred, (0.0, 4.0, 1.0), (100.0, 3.0, 1.0))
 
 
 def test_confusion_edges(spark):
@@ -132,11 +143,48 @@ def test_confusion_edges(spark):
     assert m[0].iou == 0.5 and m[1].recall is None and m[1].precision == 0.0 and m[2].precision is None
     assert evaluate.summary(evaluate.metrics(cm), {0: "Grass", 1: "Bush", 2: "Autre"}).first().mean_iou == 0.25
     assert evaluate.confusion(pairs.limit(0), 2).agg(F.sum("n")).first()[0] == 0
-    assert evaluate.report(evaluate.metrics(cm), {0: "Grass", 1: "Bush", 2: "Tree"}).orderBy("class_id").first().line.startswith("Grass") and "nan" in evaluate.report(evaluate.metrics(cm), {0: "Grass", 1: "Bush", 2: "Tree"}).filter("class_id = 1").first().line
+    lines = [r.line for r in evaluate.report(evaluate.metrics(cm), {0: "Grass", 1: "Bush", 2: "Autre"}).orderBy("pos").collect()]
+    assert lines == [
+        "==== Segmentation Performance Report ====", "", "Class                      IoU      Precision         Recall           Dice", "-" * 75, "Grass                    0.500          1.000          0.500          0.667",
+        "Bush                     0.000          0.000            nan          0.000", "Autre                    0.000            nan          0.000          0.000", "", "==== Global Means (excluding 'Autre') ====",
+        "Mean IoU       : 0.250", "Mean Precision : 0.500", "Mean Recall    : 0.500", "Mean Dice      : 0.333",
+    ]
     with pytest.raises(Exception, match="out of range"):
         evaluate.confusion(spark.createDataFrame([(7, 0)], "ref int, pred int"), 3).collect()
 
 
+def test_highest_point_as_a_loop_finds_it(spark):
+    """A stored single-precision height is replaced by every greater point, in file order."""
+    rng, rows, want = random.Random(3), [], {}
+    for cell in range(300):
+        top = rng.choice([5.0, 5.1, 0.3, 7.7, 1.1])
+        zs = [top if rng.random() < 0.6 else rng.choice([0.1, 0.2]) for _ in range(5)]
+        stored, cls = np.float32(-np.inf), None
+        for k, z in enumerate(zs):
+            rows.append((0, cell, z, k, cell * 10 + k))
+            if z > float(stored):
+                stored, cls = np.float32(z), k
+        want[cell] = cls
+    p = spark.createDataFrame(rows, "row int, col int, z double, cls short, seq long")
+    assert {r.col: r.cls for r in points.rasterize(p, [], sequential="seq").collect()} == want
+
+
+def test_filling_tiles_apart(spark):
+    rows = [(t, 0, c, v, 0) for t, vs in (("a", (1.0, None, 3.0)), ("b", (100.0, None, 300.0)), ("c", (None, None, None)), ("d", (None, 4.0, 9.0))) for c, v in enumerate(vs)]
+    f = spark.createDataFrame(rows, "tile_id string, row int, col int, v double, cls int").withColumn("cls", F.when((F.col("tile_id") == "d") & (F.col("col") == 2), 9).otherwise(0))
+    got = {(r.tile_id, r.col): r.v for r in stencil.fill_jacobi(f, by=("tile_id",)).collect()}
+    assert [got["a", 1], got["b", 1], got["c", 1], got["d", 0], got["d", 2]] == [2.0, 200.0, 0.0, 4.0, 4.0] and len(got) == 12
+
+
+def test_slope_on_grid_cells(spark):
+    """Cells from the lower left corner, partial ones dropped, empty ones 0."""
+    f = grid(spark, "1 2 3 4 5; 6 7 8 9 10; 11 12 13 14 15").withColumns({"slope_deg": F.col("v"), "slope_rad": F.col("v")})
+    got = {(r.i, r.j): r.slope for r in zonal.zonal_slope_on_grid(f, (0.0, 3.0, 1.0), (0.0, 0.0, 5.0, 3.0), 2.0, "slope_max").collect()}
+    assert got == {(0, 0): 12.0, (1, 0): 14.0}
+    far = {(r.i, r.j): r.slope for r in zonal.zonal_slope_on_grid(f, (0.0, 3.0, 1.0), (4.0, 0.0, 8.0, 2.0), 2.0, "slope_max").collect()}
+    assert far == {(0, 0): 15.0, (1, 0): 0.0}
+
+
 def test_rasterize_ties_and_terrain(spark):
     rows = [(0.2, 0.9, 5.0, 6, 1), (0.3, 0.8, 5.0, 2, 0), (0.4, 0.7, 1.0, 1, 2), (0.1, 0.6, 2.0, 9, 3), (1.5, 0.5, 3.0, 3, 4), (2.0, 0.0, 8.0, 4, 5)]
     p = spark.createDataFrame(rows, "x double, y double, z double, cls short, seq long")
