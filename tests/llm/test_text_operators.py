@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import time
 import zlib
@@ -144,42 +145,69 @@ def _jsd(p, q):
     return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
 
 
-def test_quality_distances_equal_brute_force(docs, corpus):
-    def shape(text):
-        w = WORD.findall(text or "")
-        chars = "".join(w)
-        import unicodedata
+def test_quality_distances_equal_brute_force(docs, corpus, monkeypatch):
+    import unicodedata
 
-        kinds = collections.Counter({"Ll": "lower", "Lu": "upper", "Nd": "digit"}.get(unicodedata.category(c), "symbol" if c in "#*$%&|<>" else "other") for c in chars)
-        common_ = collections.Counter(x for x in (y.lower() for y in w) if x in quality.COMMON_WORDS)
-        return len(w), [kinds[c] for c in quality.CLASSES], common_
+    monkeypatch.setattr(quality, "GUARD_LANGUAGE", 300)
+    mark = lambda w: not any(unicodedata.category(c)[0] in "LN" for c in w)
+    held, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang, _ in corpus:
+        if lang is not None and text is not None:
+            n_docs[lang] += 1
+            held[lang].update({w for w in WORD.findall(text) if not mark(w)})
+    ranked = {k: sorted((-n, w) for w, n in c.items() if n > 1 and 100 * n >= quality.LEAST_PERCENT * n_docs[k]) for k, c in held.items()}
+    tops = {k: {w for _, w in x[: quality.COMMON]} for k, x in ranked.items()}
+    every = set().union(*tops.values())
+    failed = dict(quality.judge(docs, ["text"]).select("text", "base_failed").collect())
 
-    each = [(r[2], *shape(r[1])) for r in corpus]
-    total = collections.Counter()
-    for lang, n, _, _ in each:
-        total[lang] += n
+    def shape(text, lang):
+        w = WORD.findall(text or "")
+        kinds = collections.Counter({"Ll": "lower", "Lu": "upper", "Nd": "digit"}.get(unicodedata.category(c), "symbol" if c in "#*$%&|<>" else "other") for c in "".join(w))
+        counted = [x for x in w if x in (tops[lang] if tops.get(lang) else every)] + [""] * sum(map(mark, w))  # marks as one word
+        return len(w), [kinds[c] for c in quality.CLASSES], collections.Counter(counted)
 
     def reference(lang):
-        own = [x for x in each if x[1] and (x[0] == lang or lang is None)]
-        chars = [sum(x[2][k] for x in own) for k in range(5)]
-        words = collections.Counter()
-        for x in own:
-            words.update(x[3])
-        n = sum(x[1] for x in own)
-        return [c / sum(chars) for c in chars], {w: c / n for w, c in words.items()}
+        own = [shape(t, k) for _, t, k, _ in corpus if not failed[t] and (lang is None or k == lang)]
+        chars, words, n = [sum(x[1][k] for x in own) for k in range(5)], sum((x[2] for x in own), collections.Counter()), sum(x[0] for x in own)
+        return n, [c / max(1, sum(chars)) for c in chars], {w: c / n for w, c in words.items()}
+
+    refs = {k: reference(k) for k in tops}
+    refs = {k: r for k, r in refs.items() if r[0] >= 300}
+    assert set(refs) == {"en"}
+    together = lambda k: [k[0] + k[1] + k[4], k[2], k[3]]
+
+    def word_distance(n, words, shares):
+        keys = sorted({*words, *shares})
+        p, q = [words[k] / n for k in keys], [shares.get(k, 0.0) for k in keys]
+        return _jsd([*p, 1 - sum(p)], [*q, 1 - sum(q)])
 
     for r in quality.judge(docs, ["doc_id", "text", "lang"]).collect():
-        n, kinds, words = shape(r["text"])
+        n, kinds, words = shape(r["text"], r["lang"])
         if not n:
-            assert r["class_distance"] == r["word_distance"] == 0
+            assert r["class_distance"] == 0
             continue
-        lang = r["lang"] if r["lang"] and total[r["lang"]] >= quality.GUARD_LANGUAGE else None
-        kq, wq = reference(lang)
-        keys = sorted({*words, *wq})
-        p = [words[k] / n for k in keys]
-        q = [wq.get(k, 0.0) for k in keys]
-        assert math.isclose(r["class_distance"], _jsd([k / sum(kinds) for k in kinds], kq), abs_tol=1e-7)
-        assert math.isclose(r["word_distance"], _jsd([*p, 1 - sum(p)], [*q, 1 - sum(q)]), abs_tol=1e-7)
+        p, known = [k / sum(kinds) for k in kinds], r["lang"] in refs
+        want = _jsd(p, refs[r["lang"]][1]) if known else _jsd(together(p), together(reference(None)[1]))
+        assert math.isclose(r["class_distance"], want, abs_tol=1e-7)
+        if known or r["lang"] is None:
+            want = min(word_distance(n, words, refs[k][2]) for k in ([r["lang"]] if known else refs))
+            assert math.isclose(r["word_distance"], want, abs_tol=1e-7)
+        else:
+            assert r["word_distance"] is None
+
+
+def test_quality_in_a_corpus_of_junk(spark):
+    """More than twice as much junk as clean text, most of it failing the base rules: the clean text sets the norm."""
+    rng = random.Random(4)
+    clean_words = "the of and to in is that it for was on are with as by".split() + [f"{a}{b}ing" for a in "bcdfghklm" for b in ("a", "or", "in", "ell", "ust")]
+    text = lambda words, n: " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=n))
+    clean = [(i, text(clean_words, rng.randint(60, 300)), "en") for i in range(120)]
+    repeated = [(1000 + i, " ".join([text(clean_words[15:], 1)] * 200 + ["$$$ %%%"] * 50), "en") for i in range(240)]
+    symbols = [(2000 + i, " ".join(f"{rng.choice(clean_words)}$$$" for _ in range(100)), "en") for i in range(20)]
+    listed = [(3000 + i, " | ".join(text(clean_words[15:], 1) for _ in range(60)), "en") for i in range(20)]
+    docs = spark.createDataFrame(clean + repeated + symbols + listed, "doc_id long, text string, lang string")
+    kept = {r[0] for r in quality.keep(docs).select("doc_id").collect()}
+    assert kept == set(range(120))
 
 
 def test_quality_keeps_clean_text_and_columns(docs):
@@ -191,8 +219,6 @@ def test_quality_keeps_clean_text_and_columns(docs):
 
 def test_quality_keeps_clean_text_of_languages_without_reference(spark):
     """Null and rare languages, one in a script without case; junk among them still goes."""
-    import random
-
     rng = random.Random(2)
     text = lambda words: " ".join(rng.choice(words) for _ in range(200))
     english = "the of and to in is that it for was river stone cloud morning paper window".split()
