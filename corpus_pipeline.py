@@ -15,50 +15,32 @@ from terraloom.llm import common, linededup, mixing, near, packing, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_done: list[DataFrame] = []
+#: Least words of a document that the pipeline keeps. The operator's default of 50 would lose one clean document in
+#: twenty; the distribution test judges short texts from 20 words on.
+MIN_WORDS = 1
 
 
-def _staged(function: Stage) -> Stage:
-    """The stage, deleting the scratch tables of the stage before: its result has been written by now."""
-
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _done:
-            common.discard(_done.pop())
-        with common.collected() as tables:
-            out = function(spark, docs, sf_dir)
-        _done.extend(tables)
-        return out
-
-    stage.__name__, stage.__doc__ = function.__name__, function.__doc__
-    return stage
-
-
-@_staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the distribution test."""
-    return quality.keep(docs)
+    """Documents with a word that pass the repetition rule and the distribution test."""
+    return quality.keep(docs, MIN_WORDS)
 
 
-@_staged
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those with nothing left go."""
     out = linededup.dedup(docs).filter(F.col(common.fresh(docs, "deleted")).isNull() | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@_staged
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, by fingerprints and by five-word shingles."""
     return near.dedup(docs)
 
 
-@_staged
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-@_staged
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the sequences."""
     return packing.pack(docs)
@@ -77,11 +59,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`; a stage's scratch tables go once its result is written, and a result once the next one is."""
     docs, last = common.documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
-        if last is not None:
-            common.discard(last)
+        with common.collected() as tables:
+            docs = common.written(stage(spark, docs, sf_dir), name)
+        for t in [*tables, *([last] if last is not None else [])]:
+            if t is not docs:
+                common.discard(t)
         last = docs
     return docs

@@ -142,6 +142,7 @@ def _left(text: Column, deleted: Column) -> Column:
     return F.get(F.transform(F.array(F.split(text, "\n")), kept), F.lit(0))
 
 
+@common.tidied
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated line runs deleted, and `deleted` (or the next free name): the line numbers, null where none.
 
@@ -158,6 +159,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.withColumn("text", text).drop(key, taken["del_key"])
 
 
+@common.tidied
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text after line dedup, with the numbers of the lines deleted."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")

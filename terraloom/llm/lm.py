@@ -284,6 +284,7 @@ def train(docs: DataFrame, lex: Lexicon, shared, rounds: int = ROUNDS) -> Weight
     return Weights(classes.astype(np.float32), members.astype(np.float32))
 
 
+@common.tidied
 def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 

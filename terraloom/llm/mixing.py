@@ -167,6 +167,7 @@ def decide(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return narrow, copies(narrow, **options)
 
 
+@common.tidied
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: documents as often as they were taken, in their own columns.
 
@@ -181,6 +182,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return many.drop(names["copies"])
 
 
+@common.tidied
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow, decisions = decide(common.documents(spark, sf_dir))
     d = decisions.select(*(F.col(c).alias(f"d_{c}") for c in decisions.columns))

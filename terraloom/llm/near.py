@@ -118,6 +118,7 @@ def links(docs: DataFrame, key: str, table: DataFrame) -> DataFrame:
     return common.written(edges.join(of("a", "fa"), "a").join(of("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")), "nearlinks")
 
 
+@common.tidied
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each class, the first by doc_id, in the documents' own columns.
 

@@ -242,6 +242,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     return ranked.mapInArrow(look, schema)
 
 
+@common.tidied
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, keep_ids: bool = False) -> DataFrame:
     """Pack every document (doc_id, text, any other columns) into sequences of at most `capacity` tokens.
 
@@ -259,6 +260,7 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.flatten(F.col("p.ids")).alias("ids"), F.col("p.doc_id").alias("doc_ids"))
 
 
+@common.tidied
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

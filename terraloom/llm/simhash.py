@@ -104,6 +104,7 @@ def classed(rows: DataFrame, more: DataFrame | None = None, radius: int = RADIUS
     return rows.join(by_fp, rows.fp == by_fp.f).select("doc_id", "fp", "component_id")
 
 
+@common.tidied
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the first by doc_id, in the documents' own columns.
 
@@ -114,6 +115,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     return rows.join(kept, rows[key] == kept.keep_key, "left_semi").drop(key)
 
 
+@common.tidied
 def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(common.documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,11 +1,14 @@
 import collections
+import itertools
+import pathlib
 import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from terraloom.llm import common, mixing, packing, quality
-from tests.llm.test_text_operators import WORD, brute_classes, brute_fingerprint, brute_lines, check_packing
+from tests.llm.test_near import brute_shingles, similar
+from tests.llm.test_text_operators import WORD, brute_fingerprint, brute_lines, check_packing
 
 
 def staged(spark, docs, n):
@@ -23,7 +26,7 @@ def test_each_stage_equals_brute_force_on_what_the_one_before_kept(spark, docs):
     before = docs
     after = staged(spark, before, 1)
     assert after.columns == docs.columns
-    kept = {tuple(r) for r in quality.judge(before, ["doc_id", "text"]).filter("kept").select("doc_id", "text").collect()}
+    kept = {tuple(r) for r in quality.judge(before, ["doc_id", "text"], corpus_pipeline.MIN_WORDS).filter("kept").select("doc_id", "text").collect()}
     rows = plain(before)
     assert collections.Counter(plain(after)) == collections.Counter(r for r in rows if r[:2] in kept)
 
@@ -39,7 +42,11 @@ def test_each_stage_equals_brute_force_on_what_the_one_before_kept(spark, docs):
 
     before, rows = after, plain(after)
     after = common.written(corpus_pipeline.simhash_dedup(spark, before, ""), "t")
-    groups = brute_classes(list(range(len(rows))), [brute_fingerprint(r[1]) for r in rows])
+    sets, prints = [brute_shingles(r[1]) for r in rows], [brute_fingerprint(r[1]) for r in rows]
+    groups = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if similar(sets[a], sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
+            groups = [groups[a] if g == groups[b] else g for g in groups]
     of = collections.defaultdict(set)
     for r, g in zip(rows, groups, strict=True):
         of[g].add(r)
@@ -61,8 +68,24 @@ def test_each_stage_equals_brute_force_on_what_the_one_before_kept(spark, docs):
 
 def test_run_over_a_folder(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
+    with common.collected() as tables:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        other = corpus_pipeline.run(spark, str(tmp_path))  # two runs side by side
     assert out.count() > 0 and out.filter("length > 4096").count() == 0
+    order = lambda d: sorted(map(tuple, d.select("doc_id", "piece", "length", "ids_crc32").collect()))
+    assert order(out) == order(other)
+    left = [t for t in tables if pathlib.Path(t._terraloom_path.removeprefix("file://")).exists()]
+    assert len(tables) > 20 and len(left) == 2  # the results alone
+    for t in left:
+        common.discard(t)
+
+
+def test_a_stage_keeps_what_the_one_before_still_needs(spark, docs):
+    """Stages called one after the other, before any result has been read."""
+    first = corpus_pipeline.quality_rules(spark, docs, "")
+    second = corpus_pipeline.line_dedup(spark, first, "")
+    third = corpus_pipeline.simhash_dedup(spark, second, "")
+    assert 0 < third.count() <= second.count() <= first.count() <= docs.count()
 
 
 def test_run_over_an_empty_table(spark, no_docs, tmp_path):
