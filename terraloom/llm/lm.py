@@ -3,7 +3,8 @@
 A word's probability is its class's, given the words before it, times its own within the class. Frequent
 words fill classes of a few members each; the next ones are classed by how often they occur; all others, the
 never seen among them, are one class. Both softmaxes read hashed features of the context: the word before,
-the two before as one, and the one before the last alone (a skip).
+the two before as one, and the one before the last alone (a skip). The model grows with the training tokens:
+the hash buckets with their square root, as vocabularies do, and the classes' members with their sixth root.
 
 Training runs over every training document: tasks gather observed and expected feature counts in dense
 blocks, the blocks are added up in a tree, and the weights take a gradient step, observed minus expected
@@ -30,9 +31,9 @@ from terraloom.llm import common
 FOLDS, HELD_OUT = 7, 2
 #: Most words whose counts are sent to every task, and their least count: rarer ones stand for the unseen.
 TABLE, LEAST = 400_000, 4
-HEAD_CLASSES, MEMBERS, COUNT_CLASSES = 24, 16, 7
-#: Hash buckets of each context feature for classes, and of the word before for members.
-BUCKETS, MEMBER_BUCKETS = 4096, 2048
+HEAD_CLASSES, COUNT_CLASSES = 24, 7
+#: Context features, and least hash buckets of each.
+FEATURES, LEAST_BUCKETS = 3, 256
 ROUNDS, RATE, PRIOR = 2, 0.5, 30.0
 #: Documents of a numpy batch; parameter rows of a block; blocks added up at once.
 BATCH_DOCS, BLOCK, FAN_IN = 1000, 512, 64
@@ -78,8 +79,14 @@ def tokens(texts: pa.Array) -> Words:
     return Words(distinct, index, at[:-1] + np.arange(len(texts)))
 
 
-def contexts(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (3, tokens) of the class features, and of the member feature."""
+def shape(n: int) -> tuple[int, int]:
+    """(buckets, members) of a model of n training tokens: powers of two about their square and sixth root."""
+    bits = np.log2(max(2, n))
+    return max(LEAST_BUCKETS, 1 << round(bits / 2)), 1 << round(bits / 6)
+
+
+def contexts(w: Words, buckets: int) -> np.ndarray:
+    """Buckets (FEATURES, tokens) of the context features; members read half as many, one for two."""
     h = w.distinct[w.index]
     one, two = np.empty_like(h), np.empty_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
@@ -87,11 +94,11 @@ def contexts(w: Words) -> tuple[np.ndarray, np.ndarray]:
     two[w.starts] = START
     second = w.starts + 1
     two[second[second < len(h)]] = START
-    bits, few = np.uint64(64 - int(np.log2(BUCKETS))), np.uint64(64 - int(np.log2(MEMBER_BUCKETS)))
+    bits = np.uint64(64 - (buckets.bit_length() - 1))
     with np.errstate(over="ignore"):
         mixed = (one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[2] + _MIX[0]), two * _MIX[3])
         mixed = tuple((m ^ (m >> np.uint64(29))) * _MIX[1] for m in mixed)
-    return np.stack([(m >> bits).astype(np.int32) for m in mixed]), (mixed[0] >> few).astype(np.int32)
+    return np.stack([(m >> bits).astype(np.int32) for m in mixed])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -122,6 +129,8 @@ class Lexicon:
     n: int
     v: int
     rare_mass: float
+    buckets: int
+    members: int
 
     def look(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct word's place in the table, and whether it is there."""
@@ -145,26 +154,27 @@ def lexicon(counts: DataFrame, table: int = TABLE) -> Lexicon:
     hashes, c = hashes[order], c[order]
     if not len(hashes):  # nothing to train on: one entry that no token equals
         hashes, c = np.array([START], np.uint64), np.array([0], np.int64)
-    rank, head = np.arange(len(c)), HEAD_CLASSES * MEMBERS
+    buckets, members = shape(n)
+    rank, head = np.arange(len(c)), HEAD_CLASSES * members
     low, high = (np.log2(max(1, x)) for x in (c[-1], c[min(head, len(c) - 1)]))
     band = np.clip(((high - np.log2(np.maximum(c, 1))) / max(1e-9, high - low) * COUNT_CLASSES).astype(int), 0, COUNT_CLASSES - 1)
-    cls = np.where(rank < head, rank // MEMBERS, HEAD_CLASSES + band)
+    cls = np.where(rank < head, rank // members, HEAD_CLASSES + band)
     mass = np.bincount(cls, c + 1.0, CLASSES)
     rare_mass = float(n - c.sum()) + (v - int((c > 0).sum())) + 1.0
     mass[RARE] = rare_mass
-    q = np.full(head, 1e-9)
+    q = np.full(head, 1e-30)
     q[: min(head, len(c))] = c[:head] + 1.0
-    q = q.reshape(HEAD_CLASSES, MEMBERS)
+    q = q.reshape(HEAD_CLASSES, members)
     share = np.log10((c + 1.0) / mass[cls])
     by = np.argsort(hashes)
     member = np.where(rank < head, rank, -1)
-    return Lexicon(hashes[by], c[by], cls[by].astype(np.int16), member[by].astype(np.int32), share[by], np.maximum(mass, 0.5) / np.maximum(mass, 0.5).sum(), q / q.sum(axis=1, keepdims=True), n, v, rare_mass)
+    return Lexicon(hashes[by], c[by], cls[by].astype(np.int16), member[by].astype(np.int32), share[by], np.maximum(mass, 1e-30) / mass.sum(), q / q.sum(axis=1, keepdims=True), n, v, rare_mass, buckets, members)
 
 
 @dataclass
 class Weights:
-    classes: np.ndarray  # (3, BUCKETS, CLASSES)
-    members: np.ndarray  # (MEMBER_BUCKETS, HEAD_CLASSES, MEMBERS)
+    classes: np.ndarray  # (FEATURES, buckets, CLASSES)
+    members: np.ndarray  # (FEATURES, buckets / 2, HEAD_CLASSES, members)
 
 
 def _labels(lex: Lexicon, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,9 +195,15 @@ def _class_p(lex: Lexicon, weights: Weights, features: np.ndarray) -> np.ndarray
     return z
 
 
-def _member_p(lex: Lexicon, weights: Weights, few: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    z = weights.members.reshape(-1, MEMBERS).take(few * HEAD_CLASSES + cls, axis=0)
-    z += np.log(lex.member_q).astype(np.float32).take(cls, axis=0)
+def _member_rows(features: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Rows of the member weights, feature by feature, that tokens of a head class read."""
+    return (features >> 1).astype(np.int64) * HEAD_CLASSES + cls
+
+
+def _member_p(lex: Lexicon, weights: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    z = np.log(lex.member_q).astype(np.float32).take(cls, axis=0)
+    for k in range(FEATURES):
+        z += weights.members[k].reshape(-1, lex.members).take(rows[k], axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -207,32 +223,35 @@ def _gather(docs: DataFrame, lex, weights) -> DataFrame:
 
     def run(batches):
         lexicon_, fitted = lex.value, weights and weights.value
-        classes = np.zeros((3, BUCKETS, CLASSES))
-        members = np.zeros((MEMBER_BUCKETS * HEAD_CLASSES, MEMBERS))
+        buckets, width = lexicon_.buckets, lexicon_.members
+        classes = np.zeros((FEATURES, buckets, CLASSES))
+        members = np.zeros((FEATURES, buckets // 2 * HEAD_CLASSES, width))
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_DOCS):
                 w = tokens(batch.column(0).slice(lo, BATCH_DOCS))
-                features, few = contexts(w)
+                features = contexts(w, buckets)
                 _, _, cls, member = _labels(lexicon_, w)
                 some = np.flatnonzero(member >= 0)
                 if fitted is None:
-                    for k in range(3):
-                        classes[k] += np.bincount(features[k].astype(np.int64) * CLASSES + cls, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
-                    key = few[some].astype(np.int64) * (HEAD_CLASSES * MEMBERS) + member[some]
-                    members += np.bincount(key, minlength=members.size).reshape(members.shape)
+                    rows = _member_rows(features[:, some], cls[some])
+                    for k in range(FEATURES):
+                        classes[k] += np.bincount(features[k].astype(np.int64) * CLASSES + cls, minlength=buckets * CLASSES).reshape(buckets, CLASSES)
+                        members[k] += np.bincount(rows[k] * width + member[some] % width, minlength=members[k].size).reshape(members[k].shape)
                     continue
                 for at in range(0, len(w.index), SLICE):
                     part = slice(at, at + SLICE)
                     p = _class_p(lexicon_, fitted, features[:, part])
-                    for k in range(3):
+                    for k in range(FEATURES):
                         _add_rows(classes[k], features[k, part], p)
-                own = cls[some].astype(np.int64)
-                for at in range(0, len(some), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    p = _member_p(lexicon_, fitted, few[some[part]], own[part])
-                    _add_rows(members, few[some[part]] * HEAD_CLASSES + own[part], p)
+                for at in range(0, len(some), SLICE):
+                    part = some[at : at + SLICE]
+                    own = cls[part].astype(np.int64)
+                    rows = _member_rows(features[:, part], own)
+                    p = _member_p(lexicon_, fitted, rows, own)
+                    for k in range(FEATURES):
+                        _add_rows(members[k], rows[k], p)
         part = TaskContext.get().partitionId()
-        for kind, rows in (("classes", classes.reshape(-1, CLASSES)), ("members", members)):
+        for kind, rows in (("classes", classes.reshape(-1, CLASSES)), ("members", members.reshape(-1, width))):
             size = BLOCK * (1 if kind == "classes" else 4)
             for block in range(0, len(rows), size):
                 data = rows[block : block + size].astype(np.float32)
@@ -259,28 +278,28 @@ def _added(blocks: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return {(r["kind"], r["block"]): np.frombuffer(zlib.decompress(r["data"]), np.float32) for r in blocks.collect()}
 
 
-def _dense(found: dict) -> tuple[np.ndarray, np.ndarray]:
-    classes, members = np.zeros((3 * BUCKETS, CLASSES)), np.zeros((MEMBER_BUCKETS * HEAD_CLASSES, MEMBERS))
+def _dense(found: dict, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    classes, members = np.zeros((FEATURES * lex.buckets, CLASSES)), np.zeros((FEATURES * (lex.buckets // 2) * HEAD_CLASSES, lex.members))
     for (kind, block), data in found.items():
         into = classes if kind == "classes" else members
         rows = data.reshape(-1, into.shape[1])
         into[block : block + len(rows)] = rows
-    return classes.reshape(3, BUCKETS, CLASSES), members.reshape(MEMBER_BUCKETS, HEAD_CLASSES, MEMBERS)
+    return classes.reshape(FEATURES, lex.buckets, CLASSES), members.reshape(FEATURES, lex.buckets // 2, HEAD_CLASSES, lex.members)
 
 
 def train(docs: DataFrame, lex: Lexicon, shared, rounds: int = ROUNDS) -> Weights:
     """Weights after `rounds` gradient steps, each over every training document; the first starts from zero."""
     spark = docs.sparkSession
-    classes, members = np.zeros((3, BUCKETS, CLASSES)), np.zeros((MEMBER_BUCKETS, HEAD_CLASSES, MEMBERS))
-    seen_c, seen_m = _dense(_added(_gather(docs, shared, None)))
+    seen_c, seen_m = _dense(_added(_gather(docs, shared, None)), lex)
+    classes, members = np.zeros_like(seen_c), np.zeros_like(seen_m)
     prior_c, prior_m = PRIOR * lex.class_p, PRIOR * lex.member_q
-    for r in range(rounds):
-        if r == 0:  # zero weights expect the shares
-            want_c, want_m = seen_c.sum(axis=2, keepdims=True) * lex.class_p, seen_m.sum(axis=2, keepdims=True) * lex.member_q
+    for step in range(rounds):
+        if step == 0:  # zero weights expect the shares
+            want_c, want_m = seen_c.sum(axis=2, keepdims=True) * lex.class_p, seen_m.sum(axis=3, keepdims=True) * lex.member_q
         else:
-            want_c, want_m = _dense(_added(_gather(docs, shared, spark.sparkContext.broadcast(Weights(classes.astype(np.float32), members.astype(np.float32))))))
-        classes = classes + RATE * np.log((seen_c + prior_c) / (want_c + prior_c))
-        members = members + (RATE + 0.4 if r == 0 else RATE) * np.log((seen_m + prior_m) / (want_m + prior_m))
+            want_c, want_m = _dense(_added(_gather(docs, shared, spark.sparkContext.broadcast(Weights(classes.astype(np.float32), members.astype(np.float32))))), lex)
+        classes += RATE * np.log((seen_c + prior_c) / (want_c + prior_c))
+        members += RATE * np.log((seen_m + prior_m) / (want_m + prior_m))
     return Weights(classes.astype(np.float32), members.astype(np.float32))
 
 
@@ -307,7 +326,7 @@ def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFram
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_DOCS):
                 w = tokens(batch.column(2).slice(lo, BATCH_DOCS))
-                features, few = contexts(w)
+                features = contexts(w, lexicon_.buckets)
                 at, known, cls, member = _labels(lexicon_, w)
                 here = known[w.index]
                 p = np.zeros(len(w.index))
@@ -317,10 +336,11 @@ def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFram
                     p[part] = np.log10(_class_p(lexicon_, weights, features[:, part])[np.arange(n), cls[part]].astype(np.float64))
                 share = np.where(known, lexicon_.share[at], 0.0)[w.index]
                 some = np.flatnonzero(member >= 0)
-                for a in range(0, len(some), 1 << 18):
-                    part = some[a : a + (1 << 18)]
-                    q = _member_p(lexicon_, weights, few[part], cls[part].astype(np.int64))
-                    share[part] = np.log10(np.maximum(q[np.arange(len(part)), member[part] % MEMBERS], 1e-30).astype(np.float64))
+                for a in range(0, len(some), SLICE):
+                    part = some[a : a + SLICE]
+                    own = cls[part].astype(np.int64)
+                    q = _member_p(lexicon_, weights, _member_rows(features[:, part], own), own)
+                    share[part] = np.log10(np.maximum(q[np.arange(len(part)), member[part] % lexicon_.members], 1e-30).astype(np.float64))
                 base = np.where(known, np.log10(lexicon_.count[at] + 1.0), 0.0)[w.index]
                 total = lambda x, s=w.starts: np.add.reduceat(x, s)
                 ends = np.append(w.starts[1:], len(w.index))

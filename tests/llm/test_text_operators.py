@@ -507,19 +507,24 @@ def test_lm_probabilities_sum_to_one(spark, docs):
     weights = lm.train(training, lex, spark.sparkContext.broadcast(lex))
     all_counts = {np.int64(r["h"]).astype(np.uint64): r["c"] for r in counts.collect()}
     for context in ("the river", "never seen"):
-        features, few = lm.contexts(lm.tokens(pa.array([context])))
+        features = lm.contexts(lm.tokens(pa.array([context])), lex.buckets)
         p = lm._class_p(lex, weights, features)[-1]
         total = 0.0
-        member = {k: lm._member_p(lex, weights, few[-1:], np.array([k]))[0] for k in range(lm.HEAD_CLASSES)}
+        member = {k: lm._member_p(lex, weights, lm._member_rows(features[:, -1:], np.array([k])), np.array([k]))[0] for k in range(lm.HEAD_CLASSES)}
         for h, c in all_counts.items():
             at = np.searchsorted(lex.hashes, h)
             if at < len(lex.hashes) and lex.hashes[at] == h:
                 k, m = int(lex.cls[at]), int(lex.member[at])
-                total += p[k] * (member[k][m % lm.MEMBERS] if m >= 0 else 10 ** lex.share[at])
+                total += p[k] * (member[k][m % lex.members] if m >= 0 else 10 ** lex.share[at])
             else:
                 total += p[lm.RARE] * (c + 1) / lex.rare_mass
         total += p[lm.RARE] / lex.rare_mass
-        assert total <= 1 + 1e-4
+        assert abs(total - 1) < 1e-4
+
+
+def test_lm_grows_with_its_tokens():
+    sizes = [lm.shape(10**k) for k in (4, 6, 8, 10, 12)]
+    assert [b for b, _ in sizes] == sorted({b for b, _ in sizes}) and sizes[-1][0] >= 2**19 and sizes[-1][1] > sizes[0][1]
 
 
 def test_lm_learns(spark):
