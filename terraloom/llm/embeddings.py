@@ -161,13 +161,14 @@ def _moved(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(below.view(np.int64)), pa.array(place < 2**STEP - 1)], names=["pid", "tree", "node", "final"])
 
 
-def leaves(distinct: DataFrame, least: float = LEAST_COSINE, trees: int = TREES, leaf: int = LEAF, margin: float = MARGIN, seed: int = SEED) -> DataFrame:
+def leaves(distinct: DataFrame, least: float = LEAST_COSINE, trees: int = TREES, leaf: int | None = None, margin: float = MARGIN, seed: int = SEED) -> DataFrame:
     """(pid, leaf, n): every point once for each leaf it lies in, and the leaf's size; leaf numbers grow with the tree.
 
-    Nodes over `leaf` points are cut STEP levels a round, on SAMPLE points each drawn by hash; all points
+    Nodes over `leaf` points, LEAF if not given, are cut STEP levels a round, on SAMPLE points each drawn by hash; all points
     then descend. Rounds end when no node is over `leaf` or no cut divides it. Only ids, projections and cuts
     move; cuts are joined, so Spark broadcasts them only where they are small.
     """
+    leaf = leaf or LEAF
     spill = F.lit(margin * float(np.sqrt(2 - 2 * least))) / F.sqrt(F.col("dim").cast("double"))
     rows = distinct.select("pid", F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("tree"), F.xxhash64("label", "dim").alias("node"))
     done = None
