@@ -28,7 +28,7 @@ GUARD_CLASS, GUARD_WORD, GUARD_LANGUAGE = 20, 20, 10_000
 #: has 1 + 2 / sqrt(n) times as much room.
 MAX_CLASS, MAX_WORD = 0.235, 0.29
 #: Words without a letter or digit are marks, as menus and tables have between their entries: one bin of the words'.
-_MARKS = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
+_LETTERED = r"[\p{L}\p{N}][^\x20\x09-\x0D]*+"
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -47,7 +47,8 @@ def common_words(docs: DataFrame) -> DataFrame:
     n = rows.groupBy(F.col("lang_").alias("l_")).agg(F.count(F.lit(1)).alias("n_docs"))
     held = rows.select("lang_", F.explode(F.array_distinct(_words(F.col("t_")))).alias("word")).groupBy("lang_", "word").agg(F.count(F.lit(1)).alias("n"))
     often = held.filter("n > 1").join(n, F.col("lang_") == F.col("l_")).filter(100 * F.col("n") >= LEAST_PERCENT * F.col("n_docs"))
-    often = often.filter(F.col("word").rlike(r"[\p{L}\p{N}]"))
+    # Written, as Spark would otherwise count the words by language alone, a language's whole vocabulary in one task.
+    often = common.written(often.filter(F.col("word").rlike(r"[\p{L}\p{N}]")), "often")
     rank = F.row_number().over(Window.partitionBy("lang_").orderBy(F.desc("n"), "word"))
     top = often.withColumn("rank", rank).filter(F.col("rank") <= COMMON)
     return top.groupBy("lang_").agg(F.array_sort(F.collect_list("word")).alias("tops"))
@@ -68,6 +69,8 @@ def features(docs: DataFrame, carry: list[str], tops: DataFrame) -> DataFrame:
     every = tops.agg(F.array_distinct(F.flatten(F.collect_list("tops"))).alias("every_"))  # one row, COMMON words a language
     d = d.join(_sized(tops.withColumnRenamed("lang_", "l_")), F.col("lang_") == F.col("l_"), "left").join(F.broadcast(every), F.lit(True), "left")
     d = d.withColumn("tops", F.coalesce("tops", "every_")).drop("l_", "every_")
+    words = [w for r in every.collect() for w in r[0] or []] if tops.count() <= MAX_LITERAL_LANGUAGES else []
+    some = F.filter("w_", lambda w: w.isin(*words)) if words else F.col("w_")
     d = d.withColumns({"w_": _words(F.col("t_")), "nl_": _removed(F.col("t_"), r"\p{Ll}+")})
     d = d.withColumns({"nw_": _removed(F.col("nl_"), common.BLANK), "n_words": F.size("w_").cast("long")})
     gram = lambda w, i: F.xxhash64(w, F.get("w_", i + 1), F.get("w_", i + 2))
@@ -88,10 +91,10 @@ def features(docs: DataFrame, carry: list[str], tops: DataFrame) -> DataFrame:
     d = d.withColumns({"n_" + k: v for k, v in counts.items()} | {
         "word_chars": size("t_") - size("nl_") + size("nw_"),
         "n_symbols": counts["symbol"],
-        "n_marks": F.regexp_count("t_", F.lit(_MARKS)).cast("long"),
+        "n_marks": F.col("n_words") - F.regexp_count("t_", F.lit(_LETTERED)),
         "n_dup_lines": (F.size("l_") - F.size(F.array_distinct("l_"))).cast("long"),
         "n_repeat_words": total(F.transform("p_", step)),
-        "c_": F.sort_array(F.filter("w_", lambda w: F.array_contains("tops", w))),
+        "c_": F.sort_array(F.filter(some, lambda w: F.array_contains("tops", w))),
     })
     d = d.withColumn("e_", F.filter(F.transform("c_", lambda w, i: F.when((i == 0) | (w != F.get("c_", i - 1)), i)), lambda i: i.isNotNull()))
     entry = lambda i, k: F.struct(F.get("c_", i).alias("word"), (F.coalesce(F.get("e_", k + 1), F.size("c_")) - i).cast("long").alias("n"))
@@ -100,8 +103,9 @@ def features(docs: DataFrame, carry: list[str], tops: DataFrame) -> DataFrame:
     return out.select(*carry, "lang_", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", classes.alias("classes"), "common", "n_marks")
 
 
-#: Languages whose reference rows, of COMMON words each, are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_LANGUAGES = 1_000
+#: Languages whose reference rows, of COMMON words each, are broadcast; more are joined by a shuffle. Words of
+#: fewer are looked up in one set before the document's own language is.
+MAX_BROADCAST_LANGUAGES, MAX_LITERAL_LANGUAGES = 1_000, 200
 
 
 def _sized(table: DataFrame) -> DataFrame:
