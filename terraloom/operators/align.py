@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,30 @@ def source_resolution(x_res: float, y_res: float) -> float:
     return abs(x_res)
 
 
+def bilinear(raster: DataFrame, height: int, width: int, res: float, target: float) -> DataFrame:
+    """(row, col, v) at a target resolution: each new pixel's centre between the four old centres around it.
+
+    New sides are int(side / scale), at least one, and the new pixels cover the raster exactly. Beyond the
+    outermost centres the nearest row and column count; missing old pixels are left out of the weights. A new
+    pixel lists the old ones it reads, four at most, and meets them on equality.
+    """
+    rows, cols = resampled_size(height, res, target), resampled_size(width, res, target)
+    spark = raster.sparkSession
+    new = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+
+    def sides(index: str, n: int, size: int, out: str) -> Column:
+        at = F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), (F.col(index) + 0.5) * (size / n) - 0.5))
+        low = F.floor(at).cast("int")
+        pair = F.array(F.struct(low.alias(out), (1 - (at - low)).alias("w" + out)), F.struct((low + 1).alias(out), (at - low).alias("w" + out)))
+        return F.explode(F.filter(pair, lambda s: s["w" + out] > 0))
+
+    reads = new.select("row", "col", sides("row", rows, height, "r").alias("y")).select("row", "col", "y.*", sides("col", cols, width, "c").alias("x")).select("row", "col", "r", "wr", "x.*")
+    old = raster.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("v").cast("double").alias("v"))
+    weight = F.when(F.col("v").isNotNull(), F.col("wr") * F.col("wc"))
+    met = reads.join(old, ["r", "c"], "left").groupBy("row", "col")
+    return met.agg((F.sum(weight * F.col("v")) / F.nullif(F.sum(weight), F.lit(0.0))).alias("v"))
+
+
 def block_average(raster: DataFrame, factor: int) -> DataFrame:
     """Our own resampling to a coarser grid: the mean of each factor x factor block's values."""
     r, c = (F.floor(F.col(x) / factor).cast("int").alias(x) for x in ("row", "col"))

@@ -227,6 +227,18 @@ def block_average_resample(spark, sf):
     return r.select("row", "col", F.round("v", 6).alias("v"))
 
 
+@query(f"""WITH {DEM}, size AS (SELECT height, width, greatest(CAST(trunc(height / 1.6) AS INTEGER), 1) AS nh, greatest(CAST(trunc(width / 1.6) AS INTEGER), 1) AS nw FROM ext),
+rs AS (SELECT r, greatest(0.0, least(height - 1, (r + 0.5) * (height / nh) - 0.5)) AS y FROM size, (SELECT CAST(unnest(range((SELECT nh FROM size))) AS INTEGER) AS r)),
+cs AS (SELECT c, greatest(0.0, least(width - 1, (c + 0.5) * (width / nw) - 0.5)) AS x FROM size, (SELECT CAST(unnest(range((SELECT nw FROM size))) AS INTEGER) AS c)),
+q AS (SELECT r, c, y, x, y - floor(y) AS fy, x - floor(x) AS fx FROM rs, cs)
+SELECT q.r AS "row", q.c AS col, round(sum(d.v * (CASE WHEN d."row" = floor(y) THEN 1 - fy ELSE fy END) * (CASE WHEN d.col = floor(x) THEN 1 - fx ELSE fx END)), 6) AS v
+FROM q JOIN dem d ON d."row" BETWEEN floor(y) AND floor(y) + 1 AND d.col BETWEEN floor(x) AND floor(x) + 1 GROUP BY 1, 2""")
+def bilinear_resample(spark, sf):
+    d = written(proxies.dem(spark, sf), "dem")
+    height, width = align.shape(d).first()
+    return align.bilinear(d, height, width, 1.0, 1.6).select("row", "col", F.round("v", 6).alias("v"))
+
+
 # --- grids and zonal statistics --------------------------------------------------------------------------
 
 
@@ -423,6 +435,24 @@ def lit_flags_by_tile(spark, sf):
     return f.select("tile", F.array_join(F.transform("flags", lambda x: F.when(x, "1").otherwise("0")), "").alias("flags"))
 
 
+@query("""WITH f AS (SELECT CAST(user_id % 20 AS INTEGER) AS tile, string_agg(CASE WHEN event_type = 'click' THEN '1' ELSE '0' END, '' ORDER BY event_id) AS flags FROM events GROUP BY 1),
+t AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 0 ELSE CAST(user_id AS INTEGER) END AS tile FROM events)
+SELECT t.user_id, t.tile, f.flags FROM t LEFT JOIN f ON t.tile = f.tile""")
+def tile_shades(spark, sf):
+    uri = F.when(F.col("user_id") % 4 == 0, F.lit("tiles/root.json")).otherwise(F.concat(F.lit("tiles/"), F.col("user_id").cast("string"), F.lit(".b3dm")))
+    tiles = load(spark, sf, "events").select("user_id").distinct().withColumn("uri", uri)
+    flags = lighting.flags_by_tile(_lighting(spark, sf)).withColumn("tile", F.col("tile").cast("int"))
+    text = F.array_join(F.transform("flags", lambda x: F.when(x, "1").otherwise("0")), "")
+    return lighting.shades(tiles, flags).select("user_id", "tile", text.alias("flags"))
+
+
+@query("""SELECT event_id, CAST(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.2 END AS DOUBLE) AS r, CAST(CASE WHEN event_type = 'click' THEN 0.9 ELSE 0.2 END AS DOUBLE) AS g, CAST(CASE WHEN event_type = 'click' THEN 0.01 ELSE 0.2 END AS DOUBLE) AS b FROM events""")
+def triangle_colours(spark, sf):
+    colour = lighting.triangle_colour("lighted").alias("colour")
+    out = _lighting(spark, sf).select("pos", colour).select(F.col("pos").alias("event_id"), "colour.*")
+    return out.select("event_id", *(F.col(c).cast("double").alias(c) for c in "rgb"))
+
+
 def _tiles(spark, sf):
     k = F.col("user_id")
     x, y = k * 1000 + 1_800_000, (k % 7) * 1000 + 5_170_000

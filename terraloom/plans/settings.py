@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.request import urlopen
 
 N_BANDS, IGNORE = 19, 255
 # Image class to stratum, and the evaluation names.
@@ -88,6 +90,28 @@ def config_path(given: str, default: str, experiment: str | None) -> Path:
     return Path(given)
 
 
+def inference_settings(template: Mapping, mosaic: str, output: str, name: str, model: str, use_gpu: bool, batch: int, workers: int, pixels: int, margin: int, res: float) -> dict:
+    """The inference settings of a template: paths and sizes put in, class probabilities asked for, three bands read."""
+    run_limits(batch, workers, pixels, margin)
+    image = dict(template["modalities"]["AERIAL_RGBI"]) | {"input_img_path": mosaic, "channels": [1, 2, 3]}
+    return dict(template) | {
+        "output_path": output, "output_name": name, "output_type": "class_prob", "model_weights": model, "use_gpu": use_gpu, "batch_size": batch,
+        "num_worker": workers, "img_pixels_detection": pixels, "margin": margin, "output_px_meters": res, "modalities": dict(template["modalities"]) | {"AERIAL_RGBI": image},
+    }
+
+
+def ensure_file(path: str, label: str, url: str | None = None, download_missing: bool = False, timeout: float = 60.0) -> Path:
+    """The file, fetched from its url if it is missing and that is allowed; otherwise a missing one is an error."""
+    p = Path(path)
+    if not p.exists() and download_missing and url:
+        p.parent.mkdir(parents=True, exist_ok=True)
+        part = p.with_name(p.name + ".part")  # a broken transfer leaves no file of that name
+        with urlopen(url, timeout=timeout) as response, part.open("wb") as out:  # noqa: S310
+            shutil.copyfileobj(response, out, 1 << 20)
+        part.replace(p)
+    return require_file(path, label)
+
+
 def require_file(path: str, label: str) -> Path:
     p = Path(path)
     if not p.is_file():

@@ -119,6 +119,14 @@ def test_pad_and_shape(spark):
     assert align.resampled_size(4, 0.05, 0.1) == 2 and align.resampled_size(1, 1, 10) == 1
 
 
+def test_bilinear(spark):
+    a = np.arange(16.0).reshape(4, 4)
+    f = grid(spark, ";".join(" ".join(map(str, r)) for r in a))
+    assert values(align.bilinear(f, 4, 4, 0.05, 0.1)) == [2.5, 4.5, 10.5, 12.5]
+    assert values(align.bilinear(f, 4, 4, 1.0, 1.0)) == a.ravel().tolist()
+    assert values(align.bilinear(grid(spark, "1 _; 3 5"), 2, 2, 1.0, 2.0)) == [3.0]
+
+
 def test_mosaic_takes_the_first_value(spark):
     t = spark.createDataFrame([("a", 0, 0, None), ("b", 0, 0, 2.0), ("c", 0, 0, 3.0), ("c", 0, 1, None)], "tile_id string, row int, col int, v double")
     assert values(align.mosaic(t)) == [2.0, None]

@@ -44,6 +44,20 @@ def test_mappings_and_settings():
     assert str(settings.config_path("c/a.yml", "c/a.yml", "exp")) == "exp/a.yml" and str(settings.config_path("own.yml", "c/a.yml", "exp")) == "own.yml"
 
 
+def test_inference_settings_and_missing_files(tmp_path):
+    template = {"modalities": {"AERIAL_RGBI": {"channels": [1, 2, 3, 4], "norm": 1}, "DEM": {}}, "tasks": [1]}
+    got = settings.inference_settings(template, "m.tif", "out", "run", "w.ckpt", False, 4, 0, 512, 128, 0.2)
+    assert got["output_type"] == "class_prob" and got["modalities"]["AERIAL_RGBI"] == {"channels": [1, 2, 3], "norm": 1, "input_img_path": "m.tif"}
+    assert got["tasks"] == [1] and template["modalities"]["AERIAL_RGBI"]["channels"] == [1, 2, 3, 4]
+    source = tmp_path / "there.json"
+    source.write_text("{}")
+    target = str(tmp_path / "new" / "inventory.json")
+    with pytest.raises(FileNotFoundError):
+        settings.ensure_file(target, "inventory", source.as_uri())
+    assert settings.ensure_file(target, "inventory", source.as_uri(), download_missing=True).read_text() == "{}"
+    assert settings.ensure_file(target, "inventory").name == "inventory.json"
+
+
 def test_tiff_round_trip(spark, tmp_path):
     for kind in ("u1", "i2", "f4", "f8"):
         values = np.arange(12).reshape(3, 4).astype(kind)
