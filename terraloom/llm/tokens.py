@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -31,11 +32,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
 
 
+# The normalizer and splitter for which a text's ids are its words' ids in turn.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and lower-cases.
+    """Ids of whole texts by a tokenizer.
 
-    For such a tokenizer a text's ids are its words' ids in turn, and a distinct word is encoded once.
-    Texts with "<|" may hold special tokens and are encoded whole.
+    For one that drops white space and lower-cases a text's ids are its words' ids in turn, and a distinct word
+    is encoded once; its file must say so in the very terms known here. Texts of any other tokenizer, and
+    those with "<|", which may hold special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -43,6 +56,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_word = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _SPLITTER and rules["model"].get("type") == "BPE"
         self.model, self.letters = self.tok.model, _byte_letters()
         self._reset()
 
@@ -80,6 +96,9 @@ class WordEncoder:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]; null has none."""
         # take() makes a copy without an offset: Arrow's string kernels misread sliced arrays.
         texts = pc.fill_null(texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts)))), "")
+        if not self.by_word:
+            each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
         whole = {i: np.array(self.tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd}
         if len(odd):
