@@ -23,7 +23,7 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an undirected edge table (a, b): the least node it reaches.
 
     Each round is written to the shared folder, so a lost executor costs one round. Hot nodes are reduced to
@@ -36,7 +36,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     before = sign(now)
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(most):
+    while True:
         step = common.written(tidy(_small(tidy(_large(now)))), "stars")
         after = sign(step)
         common.discard(now)
@@ -44,7 +44,5 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
