@@ -223,6 +223,39 @@ def test_labels_on_held_out_pages():
     assert right / total > 0.97
 
 
+def test_extract_equals_the_articles_of_the_tables_pages(spark):
+    """The pages' own markup tells the main text: headings and paragraphs of the one article, as another parser reads them."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("p", "h1", "div", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "div", "article"):
+                self.blocks.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    got = {r.page_id: r.text for r in html.extract(spark.read.parquet(folder)).collect()}
+    for r in spark.read.parquet(folder).collect():
+        parser = Article()
+        parser.feed(r.html)
+        parser.close()
+        assert got[r.page_id] == "\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t), r.page_id
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html._weights(1).items()}

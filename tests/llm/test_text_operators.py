@@ -398,6 +398,19 @@ def test_simhash_of_nothing(no_docs):
 # --- packing -----------------------------------------------------------------------------------------------
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """One that keeps case and white space is not taken word by word."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  spaces and CASE.", "", None, "line\nbreak", "the the"]
+    ids, at = encoder.encode(pa.array(texts))
+    assert not encoder.by_word and tokens.WordEncoder(tokens.default_path()).by_word
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == encoder.tok.encode(t or "", add_special_tokens=False).ids
+
+
 def test_word_encoder_equals_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -527,6 +540,36 @@ def test_lm_grows_with_its_tokens():
     assert [b for b, _ in sizes] == sorted({b for b, _ in sizes}) and sizes[-1][0] >= 2**19 and sizes[-1][1] > sizes[0][1]
 
 
+def test_lm_score_equals_plain_sums(spark, docs):
+    """Each document's score is the sum over its tokens of the class's and the member's log probability, one at a time."""
+    import pyarrow as pa
+
+    training = docs.select("doc_id", "text").filter(~lm.held_out(F.col("doc_id")))
+    counts = lm.word_counts(training).cache()
+    lex = lm.lexicon(counts)
+    weights = lm.train(training, lex, spark.sparkContext.broadcast(lex))
+    all_counts = {np.int64(r["h"]).astype(np.uint64): r["c"] for r in counts.collect()}
+
+    def plain(text):
+        w, total = lm.tokens(pa.array([text], pa.string())), 0.0
+        features = lm.contexts(w, lex.buckets)
+        for t, h in enumerate(w.distinct[w.index]):
+            at = min(np.searchsorted(lex.hashes, h), len(lex.hashes) - 1)
+            known = lex.hashes[at] == h
+            k = int(lex.cls[at]) if known else lm.RARE
+            z = np.log(lex.class_p) + sum(weights.classes[i, features[i, t]] for i in range(lm.FEATURES))
+            total += z[k] - np.logaddexp.reduce(z)
+            if known and lex.member[at] >= 0:
+                z = np.log(lex.member_q[k]) + sum(weights.members[i, features[i, t] // 2, k] for i in range(lm.FEATURES))
+                total += z[lex.member[at] % lex.members] - np.logaddexp.reduce(z)
+            else:
+                total += math.log(10) * lex.share[at] if known else math.log((all_counts.get(h, 0) + 1) / lex.rare_mass)
+        return total / math.log(10)
+
+    for r in lm.score(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").filter("n_tokens < 300").collect()[:25]:
+        assert math.isclose(r["score"], plain(r["text"]), rel_tol=1e-4, abs_tol=1e-3), r["doc_id"]
+
+
 def test_lm_learns(spark):
     """Held-out text of a patterned language scores better than by single words."""
     import random
