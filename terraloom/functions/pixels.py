@@ -156,6 +156,11 @@ def infiltration(imperviousness, normalized_slope, weight: float = 0.5) -> Colum
     return (1 - col(imperviousness)) * weight + (1 - col(normalized_slope)) * (1 - weight)
 
 
+def index_class(v, classes: int = 20) -> Column:
+    """The class of an index between 0 and 1, of equal width each, from 0; 1 itself is in the last."""
+    return F.least(F.floor(col(v) * classes), F.lit(classes - 1)).cast("int")
+
+
 def percent(mean) -> Column:
     return F.coalesce(col(mean), F.lit(0.0)) / 100
 

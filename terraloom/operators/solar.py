@@ -54,6 +54,13 @@ def ephemeris(hours: DataFrame, latitude: float, longitude: float, annual: bool
     return out.withColumns({"azimuth": F.when(up, F.col("azimuth")), "elevation": F.when(up, F.col("elevation"))})
 
 
+def day_lines(sun: DataFrame) -> DataFrame:
+    """(hour, line): an hour, elevation and azimuth as written, or `--` twice where the sun isn't above the horizon."""
+    up = daylight("elevation")
+    text = lambda c: F.when(up, F.col(c).cast("string")).otherwise("--")
+    return sun.select("hour", F.concat_ws(",", F.col("hour").cast("string"), *(F.coalesce(text(c), F.lit("--")) for c in ("elevation", "azimuth"))).alias("line"))
+
+
 #: What ends a line of the annual file.
 LINE_END = ";\r\n"
 

@@ -355,6 +355,53 @@ def shapefile_columns(table: DataFrame, renames: Mapping[str, str]) -> DataFrame
     return out
 
 
+def geojson_features(cells: DataFrame) -> DataFrame:
+    """(feature): one GeoJSON feature a cell (minx, miny, maxx, maxy), its other columns as properties."""
+    corner = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    ring = F.array(corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"), corner("minx", "miny"), corner("maxx", "miny"))
+    rest = [c for c in cells.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return cells.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), shape.alias("geometry"))).alias("feature"))
+
+
+def build_shapefile(frame: pd.DataFrame) -> dict[str, bytes]:
+    """The .shp, .shx and .dbf files of cells (minx, miny, maxx, maxy), with their numeric and text columns."""
+    boxes = frame[["minx", "miny", "maxx", "maxy"]].to_numpy("<f8")
+    rest = [c for c in frame.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    size = 44 + 4 + 5 * 16  # box, counts, the one part's start, five corners
+    span = [*boxes[:, :2].min(axis=0), *boxes[:, 2:].max(axis=0)] if len(boxes) else [0.0] * 4
+
+    def head(length: int) -> bytes:
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, length // 2) + struct.pack("<2i", 1000, 5) + struct.pack("<8d", *span, 0, 0, 0, 0)
+
+    shp, shx = bytearray(head(100 + len(boxes) * (8 + size))), bytearray(head(100 + len(boxes) * 8))
+    for k, (x0, y0, x1, y1) in enumerate(boxes):
+        shx += struct.pack(">2i", len(shp) // 2, size // 2)
+        ring = (x0, y0, x0, y1, x1, y1, x1, y0, x0, y0)  # clockwise
+        shp += struct.pack(">2i", k + 1, size // 2) + struct.pack("<i4d2ii10d", 5, x0, y0, x1, y1, 1, 5, 0, *ring)
+    fields, rows = [], [b" "] * len(frame)
+    for c in rest:
+        whole, text = pd.api.types.is_integer_dtype(frame[c]), not pd.api.types.is_numeric_dtype(frame[c])
+        cells = [("" if pd.isna(v) else str(v) if text else f"{int(v)}" if whole else f"{v:.15g}").encode("utf-8", "replace")[:254] for v in frame[c]]
+        width = max([18 if not text else 1, *map(len, cells)])
+        fields.append(c.encode()[:10].ljust(11, b"\0") + (b"C" if text else b"N") + bytes(4) + bytes([width, 0 if text or whole else 15]) + bytes(14))
+        rows = [r + (v.ljust(width) if text else v.rjust(width)) for r, v in zip(rows, cells, strict=True)]
+    record = len(rows[0]) if rows else 1
+    dbf = struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + 32 * len(fields), record) + b"".join(fields) + b"\r" + b"".join(rows) + b"\x1a"
+    return {"shp": bytes(shp), "shx": bytes(shx), "dbf": dbf}
+
+
+def encode_shapefile(cells: DataFrame, renames: Mapping[str, str] | None = None) -> DataFrame:
+    """(suffix, content) of a shapefile's three files; the format is one file, so this is one task, of 2 GB at most."""
+    table = shapefile_columns(cells, renames or {}).withColumn("one_", F.lit(1))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        found = build_shapefile(frame.drop(columns="one_"))
+        return pd.DataFrame({"suffix": list(found), "content": list(found.values())})
+
+    return table.groupBy("one_").applyInPandas(build, "suffix string, content binary")
+
+
 def write_blocks(raster: DataFrame, path: str, size: int = 256) -> None:
     """Pixels as Parquet clustered by block, so that a window reads few files."""
     blocks(raster, size).repartition("block_row", "block_col").sortWithinPartitions("block_row", "block_col", "row", "col").write.partitionBy("block_row").parquet(path)

@@ -144,6 +144,28 @@ def test_tiled_tiff(wide, predictor):
     assert (files.parse_tiff(_tiled(values, wide, predictor))["values"] == values).all()
 
 
+def test_cells_as_features_and_shapefile(spark):
+    cells = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0, 1.5, "a", 3), (10.0, 0.0, 20.0, 10.0, None, "é", 4)], "minx double, miny double, maxx double, maxy double, infiltration double, name string, k int")
+    found = [json.loads(r.feature) for r in files.geojson_features(cells).collect()]
+    assert found[0]["geometry"]["coordinates"][0][0] == [10.0, 0.0] and len(found[0]["geometry"]["coordinates"][0]) == 5 and found[0]["properties"] == {"infiltration": 1.5, "name": "a", "k": 3}
+    with pytest.raises(ValueError):
+        files.encode_shapefile(cells)
+    out = {r.suffix: bytes(r.content) for r in files.encode_shapefile(cells, {"infiltration": "infil"}).collect()}
+    shp, shx, dbf = out["shp"], out["shx"], out["dbf"]
+    assert struct.unpack(">i", shp[:4])[0] == 9994 and struct.unpack(">i", shp[24:28])[0] * 2 == len(shp) and struct.unpack(">i", shx[24:28])[0] * 2 == len(shx) == 116
+    assert struct.unpack("<4d", shp[36:68]) == (0.0, 0.0, 20.0, 10.0)
+    at = struct.unpack(">i", shx[108:112])[0] * 2
+    assert struct.unpack(">2i", shp[at : at + 8]) == (2, 64) and struct.unpack("<4d", shp[at + 12 : at + 44]) == (10.0, 0.0, 20.0, 10.0)
+    n, head, size = struct.unpack("<IHH", dbf[4:12])
+    assert n == 2 and dbf[32:37] == b"infil" and dbf[head - 1 : head] == b"\r" and len(dbf) == head + n * size + 1
+    widths, at, cells_ = [dbf[32 + 32 * k + 16] for k in range(3)], head + 1, []
+    for row in range(n):
+        at = head + row * size + 1
+        cells_.append([dbf[at + sum(widths[:k]) : at + sum(widths[: k + 1])].decode().strip() for k in range(3)])
+    assert cells_ == [["1.5", "a", "3"], ["", "é", "4"]]
+    assert [r.c for r in spark.createDataFrame([(0.0,), (0.049,), (0.05,), (1.0,)], "v double").select(px.index_class("v").alias("c")).collect()] == [0, 0, 1, 19]
+
+
 def test_mosaic_of_a_folder(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(files.build_tiff(np.array([[1, 2], [3, -1]], "f4"), 10.0, 20.0, 1.0, -1, compress=True))
     (tmp_path / "b.tif").write_bytes(files.build_tiff(np.array([[5, 6]], "f4"), 11.0, 19.0, 1.0, -1))
@@ -203,6 +225,8 @@ def test_sun_position_meets_published_example(spark):
 def test_annual_lines(spark):
     sun = solar.ephemeris(timegen.calendar(spark, 2024, 2024).filter("date = '2024-06-21'"), 45.76, 4.85)
     line = solar.annual_lines(sun).first().line.split(";")
+    day = {r.hour: r.line for r in solar.day_lines(sun).collect()}
+    assert len(day) >= 24 and all(x.startswith(f"{h},") and len(x.split(",")) == 3 for h, x in day.items())
     whole = [r.line for r in solar.annual_file(sun, 45.76, 4.85).collect()]
     assert whole[0].startswith("45.76;4.85;E 00:00:00;A 00:00:00;E 01:00:00") and len(whole[0].split(";")) == 50 and whole[1].split(";")[1:3] == ["--", "--"]
     assert len(line) == 49 and line[0] == "2024-06-21" and line[1] == "--" and float(line[25]) > 60
