@@ -27,9 +27,9 @@ BANDS, ROWS = 30, 5
 #: Share of equal signature rows, in percent, below which two texts aren't checked: at a similarity of 0.8 the
 #: share of 150 rows is less than this once in 100,000 times.
 LEAST_EQUAL = 66
-#: Members of open bands that a group holds. A band of over BLOCK members is compared in pairs of COPIES blocks at
+#: Members of open bands that a group holds, and their shingles in all. A band of over BLOCK members is compared in pairs of COPIES blocks at
 #: most, and its chain is cut after about CHAIN members.
-BUNDLE, BLOCK, COPIES, CHAIN = 4096, 512, 16, 4096
+BUNDLE, SHINGLES, BLOCK, COPIES, CHAIN = 4096, 1 << 20, 512, 16, 4096
 _RNG = np.random.default_rng(SEED)
 _XOR, _TIMES = (_RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -111,12 +111,13 @@ def _agreement(left: np.ndarray, right: np.ndarray, band: int) -> tuple[np.ndarr
 
 def _compared(members: DataFrame, run, schema: str) -> DataFrame:
     """run over the members (band, pos, node, n, c, sig, ...) of open bands: small bands together, pairs of blocks of large ones."""
-    sizes = common.written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    bundles = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // BUNDLE)
+    sizes = common.written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")), "sizes")
+    n, shingles = sizes.agg(F.sum("size"), F.sum("shingles")).first()
+    bundles = max(1, (n or 0) // BUNDLE, (shingles or 0) // SHINGLES)
     full = members.join(sizes, "band").withColumn("blocks", F.least(F.lit(COPIES), F.ceil(F.col("size") / BLOCK)).cast("int"))
     full = full.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y")))
-    spread = full.drop("size").select("*", F.inline(pairs))
+    spread = full.drop("size", "shingles").select("*", F.inline(pairs))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(bundles))).otherwise(F.xxhash64("band", "x", "y"))
     return spread.withColumn("group_", group).drop("blocks").groupBy("group_").applyInArrow(run, schema)
 

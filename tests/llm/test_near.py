@@ -2,7 +2,9 @@ import itertools
 import random
 
 import corpus_pipeline
+import pytest
 
+from terraloom.llm import near
 from tests.llm.test_text_operators import brute_fingerprint
 
 
@@ -35,13 +37,20 @@ def near_corpus():
     for _ in range(5):
         texts.append(step)
         step = changed(step, 3)
+    base = text(300)  # alike, mostly under the similarity, with some copies among them
+    family = [changed(base, rng.randint(8, 20)) for _ in range(60)]
+    texts += family + [changed(t, 2) for t in family[:10]]
     hot = text(150)
     texts += [changed(hot, rng.randint(0, 4)) for _ in range(40)]
     texts += [["Short", "text"], ["short", "TEXT"], ["short", "texts"]]
     return [" ".join(x) for x in texts]
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 8, "COPIES": 3, "BUNDLE": 20, "CHAIN": 5}])
+def test_near_copies_equal_brute_force(spark, monkeypatch, limits):
+    """With the limits as they are, and so small that bands are compared in blocks and chains are cut."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near, name, value)
     texts = [*near_corpus(), "", None]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     sets, prints = [brute_shingles(t or "") for t in texts], [brute_fingerprint(t) for t in texts]
