@@ -32,12 +32,13 @@ FOLDS, HELD_OUT = 7, 2
 #: Most words whose counts are sent to every task, and their least count: rarer ones stand for the unseen.
 TABLE, LEAST = 400_000, 4
 HEAD_CLASSES, COUNT_CLASSES = 24, 7
-#: Context features, least hash buckets of each, and rows of member weights a bucket: a context and a class share
-#: one hashed row.
-FEATURES, LEAST_BUCKETS, MEMBER_ROWS = 3, 256, 8
+#: Context features, and least hash buckets of each.
+FEATURES, LEAST_BUCKETS = 3, 256
 ROUNDS, RATE, PRIOR = 2, 0.5, 30.0
 #: Documents of a numpy batch; parameter rows of a block; blocks added up at once.
-BATCH_DOCS, BLOCK, FAN_IN = 1000, 512, 64
+BATCH_DOCS, BLOCK, FAN_IN = 1000, 2048, 64
+#: Splits of the input that a task of the gradient reads.
+SPLITS = 4
 #: Tokens whose softmax is taken at once; their rows fit a core's cache.
 SLICE = 1 << 15
 
@@ -86,8 +87,8 @@ def shape(n: int) -> tuple[int, int]:
     return max(LEAST_BUCKETS, 1 << round(bits / 3 + 3.75)), 1 << round(bits / 8 + 1)
 
 
-def contexts(w: Words) -> np.ndarray:
-    """Hashes (FEATURES, tokens) of the context features."""
+def contexts(w: Words, buckets: int) -> np.ndarray:
+    """Buckets (FEATURES, tokens) of the context features; members read half as many, one for two."""
     h = w.distinct[w.index]
     one, two = np.empty_like(h), np.empty_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
@@ -95,14 +96,11 @@ def contexts(w: Words) -> np.ndarray:
     two[w.starts] = START
     second = w.starts + 1
     two[second[second < len(h)]] = START
+    bits = np.uint64(64 - (buckets.bit_length() - 1))
     with np.errstate(over="ignore"):
         mixed = (one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[2] + _MIX[0]), two * _MIX[3])
-        return np.stack([(m ^ (m >> np.uint64(29))) * _MIX[1] for m in mixed])
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets, a power of two of them, by the hashes' leading bits."""
-    return (hashes >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int32)
+        mixed = tuple((m ^ (m >> np.uint64(29))) * _MIX[1] for m in mixed)
+    return np.stack([(m >> bits).astype(np.int32) for m in mixed])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -178,7 +176,7 @@ def lexicon(counts: DataFrame, table: int = TABLE) -> Lexicon:
 @dataclass
 class Weights:
     classes: np.ndarray  # (FEATURES, buckets, CLASSES)
-    members: np.ndarray  # (FEATURES, MEMBER_ROWS * buckets, members)
+    members: np.ndarray  # (FEATURES, buckets / 2, HEAD_CLASSES, members)
 
 
 def _labels(lex: Lexicon, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,17 +197,15 @@ def _class_p(lex: Lexicon, weights: Weights, features: np.ndarray) -> np.ndarray
     return z
 
 
-def _member_rows(lex: Lexicon, hashes: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def _member_rows(features: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Rows of the member weights, feature by feature, that tokens of a head class read."""
-    with np.errstate(over="ignore"):
-        mixed = (hashes ^ (cls.astype(np.uint64) + np.uint64(1)) * _MIX[3]) * _MIX[2]
-        return _bucket(mixed ^ (mixed >> np.uint64(31)), MEMBER_ROWS * lex.buckets)
+    return (features >> 1).astype(np.int64) * HEAD_CLASSES + cls
 
 
 def _member_p(lex: Lexicon, weights: Weights, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
     z = np.log(lex.member_q).astype(np.float32).take(cls, axis=0)
     for k in range(FEATURES):
-        z += weights.members[k].take(rows[k], axis=0)
+        z += weights.members[k].reshape(-1, lex.members).take(rows[k], axis=0)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -231,21 +227,18 @@ def _gather(docs: DataFrame, lex, weights) -> DataFrame:
         lexicon_, fitted = lex.value, weights and weights.value
         buckets, width = lexicon_.buckets, lexicon_.members
         classes = np.zeros((FEATURES, buckets, CLASSES))
-        members = np.zeros((FEATURES, MEMBER_ROWS * buckets, width))
-        first = np.zeros((FEATURES, MEMBER_ROWS * buckets, HEAD_CLASSES)) if fitted is None else None
+        members = np.zeros((FEATURES, buckets // 2 * HEAD_CLASSES, width))
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_DOCS):
                 w = tokens(batch.column(0).slice(lo, BATCH_DOCS))
-                hashes = contexts(w)
-                features = _bucket(hashes, buckets)
+                features = contexts(w, buckets)
                 _, _, cls, member = _labels(lexicon_, w)
                 some = np.flatnonzero(member >= 0)
                 if fitted is None:
-                    rows = _member_rows(lexicon_, hashes[:, some], cls[some])
+                    rows = _member_rows(features[:, some], cls[some])
                     for k in range(FEATURES):
                         classes[k] += np.bincount(features[k].astype(np.int64) * CLASSES + cls, minlength=buckets * CLASSES).reshape(buckets, CLASSES)
-                        members[k] += np.bincount(rows[k].astype(np.int64) * width + member[some] % width, minlength=members[k].size).reshape(members[k].shape)
-                        first[k] += np.bincount(rows[k].astype(np.int64) * HEAD_CLASSES + cls[some], minlength=first[k].size).reshape(first[k].shape)
+                        members[k] += np.bincount(rows[k] * width + member[some] % width, minlength=members[k].size).reshape(members[k].shape)
                     continue
                 for at in range(0, len(w.index), SLICE):
                     part = slice(at, at + SLICE)
@@ -255,21 +248,27 @@ def _gather(docs: DataFrame, lex, weights) -> DataFrame:
                 for at in range(0, len(some), SLICE):
                     part = some[at : at + SLICE]
                     own = cls[part].astype(np.int64)
-                    rows = _member_rows(lexicon_, hashes[:, part], own)
+                    rows = _member_rows(features[:, part], own)
                     p = _member_p(lexicon_, fitted, rows, own)
                     for k in range(FEATURES):
                         _add_rows(members[k], rows[k], p)
         part = TaskContext.get().partitionId()
-        for kind, rows in (("classes", classes.reshape(-1, CLASSES)), ("members", members.reshape(-1, width)), ("first", None if first is None else (first @ lexicon_.member_q).reshape(-1, width))):
-            if rows is None:
-                continue
-            size = BLOCK * 4
+        for kind, rows in (("classes", classes.reshape(-1, CLASSES)), ("members", members.reshape(-1, width))):
+            size = BLOCK
             for block in range(0, len(rows), size):
                 data = rows[block : block + size].astype(np.float32)
                 if data.any():
                     yield pa.RecordBatch.from_pydict({"kind": [kind], "block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, block int, part int, data binary")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return _joined(texts).mapInArrow(run, "kind string, block int, part int, data binary")
+
+
+def _joined(texts: DataFrame) -> DataFrame:
+    """texts with SPLITS splits a task, as every task sends a whole model's blocks; two tasks a core stay, if there are so many."""
+    splits = texts._jdf.queryExecution().toRdd().getNumPartitions()
+    least = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(least, splits // SPLITS)) if splits > least else texts
 
 
 def _added(blocks: DataFrame) -> dict[tuple[str, int], np.ndarray]:
@@ -289,30 +288,29 @@ def _added(blocks: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return {(r["kind"], r["block"]): np.frombuffer(zlib.decompress(r["data"]), np.float32) for r in blocks.collect()}
 
 
-def _dense(found: dict, lex: Lexicon) -> dict[str, np.ndarray]:
-    """The gathered counts by kind: of classes, of members, and of members as zero weights expect them."""
-    rows = {"classes": (lex.buckets, CLASSES), "members": (MEMBER_ROWS * lex.buckets, lex.members), "first": (MEMBER_ROWS * lex.buckets, lex.members)}
-    out = {kind: np.zeros((FEATURES * n, width), np.float32) for kind, (n, width) in rows.items()}
+def _dense(found: dict, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    classes, members = np.zeros((FEATURES * lex.buckets, CLASSES), np.float32), np.zeros((FEATURES * (lex.buckets // 2) * HEAD_CLASSES, lex.members), np.float32)
     for (kind, block), data in found.items():
-        part = data.reshape(-1, out[kind].shape[1])
-        out[kind][block : block + len(part)] = part
-    return {kind: x.reshape(FEATURES, *rows[kind]) for kind, x in out.items()}
+        into = classes if kind == "classes" else members
+        rows = data.reshape(-1, into.shape[1])
+        into[block : block + len(rows)] = rows
+    return classes.reshape(FEATURES, lex.buckets, CLASSES), members.reshape(FEATURES, lex.buckets // 2, HEAD_CLASSES, lex.members)
 
 
 def train(docs: DataFrame, lex: Lexicon, shared, rounds: int = ROUNDS) -> Weights:
     """Weights after `rounds` gradient steps, each over every training document; the first starts from zero."""
     spark = docs.sparkSession
-    seen = _dense(_added(_gather(docs, shared, None)), lex)
-    classes, members = np.zeros_like(seen["classes"]), np.zeros_like(seen["members"])
-    want_c, want_m = seen["classes"].sum(axis=2, keepdims=True) * lex.class_p.astype(np.float32), seen["first"]
-    prior_c = np.float32(PRIOR) * lex.class_p.astype(np.float32)
-    prior_m = np.float32(PRIOR) * (want_m + np.float32(1e-9)) / (want_m + np.float32(1e-9)).sum(axis=2, keepdims=True)
+    seen_c, seen_m = _dense(_added(_gather(docs, shared, None)), lex)
+    classes, members = np.zeros_like(seen_c), np.zeros_like(seen_m)
+    class_p, member_q = lex.class_p.astype(np.float32), lex.member_q.astype(np.float32)
+    prior_c, prior_m, rate = np.float32(PRIOR) * class_p, np.float32(PRIOR) * member_q, np.float32(RATE)
     for step in range(rounds):
-        if step:
-            want = _dense(_added(_gather(docs, shared, spark.sparkContext.broadcast(Weights(classes, members)))), lex)
-            want_c, want_m = want["classes"], want["members"]
-        classes += np.float32(RATE) * np.log((seen["classes"] + prior_c) / (want_c + prior_c))
-        members += np.float32(RATE) * np.log((seen["members"] + prior_m) / (want_m + prior_m))
+        if step == 0:  # zero weights expect the shares
+            want_c, want_m = seen_c.sum(axis=2, keepdims=True) * class_p, seen_m.sum(axis=3, keepdims=True) * member_q
+        else:
+            want_c, want_m = _dense(_added(_gather(docs, shared, spark.sparkContext.broadcast(Weights(classes, members)))), lex)
+        classes += rate * np.log((seen_c + prior_c) / (want_c + prior_c))
+        members += rate * np.log((seen_m + prior_m) / (want_m + prior_m))
     return Weights(classes, members)
 
 
@@ -339,8 +337,7 @@ def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFram
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_DOCS):
                 w = tokens(batch.column(2).slice(lo, BATCH_DOCS))
-                hashes = contexts(w)
-                features = _bucket(hashes, lexicon_.buckets)
+                features = contexts(w, lexicon_.buckets)
                 at, known, cls, member = _labels(lexicon_, w)
                 here = known[w.index]
                 p = np.zeros(len(w.index))
@@ -353,20 +350,20 @@ def score(docs: DataFrame, table: int = TABLE, rounds: int = ROUNDS) -> DataFram
                 for a in range(0, len(some), SLICE):
                     part = some[a : a + SLICE]
                     own = cls[part].astype(np.int64)
-                    q = _member_p(lexicon_, weights, _member_rows(lexicon_, hashes[:, part], own), own)
+                    q = _member_p(lexicon_, weights, _member_rows(features[:, part], own), own)
                     share[part] = np.log10(np.maximum(q[np.arange(len(part)), member[part] % lexicon_.members], 1e-30).astype(np.float64))
                 base = np.where(known, np.log10(lexicon_.count[at] + 1.0), 0.0)[w.index]
                 total = lambda x, s=w.starts: np.add.reduceat(x, s)
                 ends = np.append(w.starts[1:], len(w.index))
                 rare = np.flatnonzero(~here)
                 lists = np.concatenate([[0], np.searchsorted(rare, ends)])
-                unseen = w.distinct[w.index[rare]].view(np.int64)
+                hashes = w.distinct[w.index[rare]].view(np.int64)
                 m = len(w.starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(m)), batch.column(0).slice(lo, m), batch.column(1).slice(lo, m), pa.array(ends - w.starts),
                         pa.array(total(here.astype(np.int64))), pa.array(total(base)), pa.array(total(p + share)),
-                        pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(unseen)),
+                        pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(hashes)),
                     ],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_here", "base", "score", "rare"],
                 )
