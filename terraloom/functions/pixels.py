@@ -183,6 +183,17 @@ def rounded(x, digits: int) -> Column:
     return F.when(F.signum(x) < 0, -out).otherwise(out)
 
 
+def round_half_up(x, digits: int) -> Column:
+    """F.round of a double, which goes through its decimal text, at a fraction of the cost.
+
+    Where the scaled value is well off a half, rounding it and dividing gives the same double; elsewhere F.round is asked.
+    """
+    x, scale = col(x), 10.0**digits
+    scaled = x * scale
+    plain = (F.abs(scaled) < 1e12) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5) / scale).otherwise(F.round(x, digits))
+
+
 # --- georeference and names ------------------------------------------------------------------------------
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from terraloom.functions import pixels as px
 
 
-def confusion(pairs: DataFrame, n: int, empty: int | None = None) -> DataFrame:
+def confusion(pairs: DataFrame, n: int, empty: int | None = None, count: str | None = None) -> DataFrame:
     """(ref, pred, n) for every pair of the n classes; a missing class is the empty one, or left out.
 
-    Counts are combined map-side; the dense grid of n * n zeros is a literal. Classes outside 0..n-1 are an error.
+    `count` names a column of how often a row's pair occurs. Counts are combined map-side; the dense grid of n * n zeros is a literal. Classes outside 0..n-1 are an error.
     """
+    pairs = pairs.select("ref", "pred", (F.lit(1) if count is None else F.col(count)).cast("long").alias("times"))
     if empty is not None:
-        pairs = pairs.select(F.coalesce("ref", F.lit(empty)).alias("ref"), F.coalesce("pred", F.lit(empty)).alias("pred"))
-    pairs = pairs.select(F.col("ref").cast("int").alias("ref"), F.col("pred").cast("int").alias("pred")).dropna()
+        pairs = pairs.select(F.coalesce("ref", F.lit(empty)).alias("ref"), F.coalesce("pred", F.lit(empty)).alias("pred"), "times")
+    pairs = pairs.select(F.col("ref").cast("int").alias("ref"), F.col("pred").cast("int").alias("pred"), "times").dropna()
     ok = F.col("ref").between(0, n - 1) & F.col("pred").between(0, n - 1)
-    counts = pairs.groupBy("ref", "pred").agg(F.count(F.lit(1)).alias("c"))
+    counts = pairs.groupBy("ref", "pred").agg(F.sum("times").alias("c"))
     counts = counts.select(F.when(ok, F.col("ref")).otherwise(F.raise_error(F.lit("class out of range"))).alias("ref"), "pred", "c")
     ids = F.sequence(F.lit(0), F.lit(n - 1))
     dense = pairs.sparkSession.range(1).select(F.explode(ids).alias("ref")).select("ref", F.explode(ids).alias("pred"))

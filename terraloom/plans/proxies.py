@@ -5,11 +5,15 @@ They prove operators, not geodata: lineitem is a point cloud, embeddings are cla
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators import blocks
 from terraloom.operators import points as pts
 from terraloom.session import load
+from terraloom.sources.tables import written
 
 #: Point order: every column, so that what still ties is the same row.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -35,6 +39,26 @@ def dem(spark: SparkSession, sf: str) -> DataFrame:
     return full.join(r, ["row", "col"], "left").select("row", "col", F.coalesce(F.col("dsm").cast("double"), F.lit(1000.0)).alias("v"), F.coalesce("cls", F.lit(0)).alias("cls"))
 
 
+def dem_pixels(spark: SparkSession, sf: str) -> blocks.Raster:
+    """The dense raster by its pixels with points; points that tie on the order's first two columns have one class."""
+    p = points(spark, sf)
+    ext = pts.extent(p, 1.0)
+    height, width = ext.select("height", "width").first()
+    r = pts.rasterize(pts.locate(p, ext, 1.0), ORDER[:2])
+    pixels = r.select("row", "col", F.coalesce(F.col("dsm").cast("double"), F.lit(1000.0)).alias("v"), F.coalesce("cls", F.lit(0)).alias("cls"))
+    return blocks.Raster(pixels, height, width, 1000.0)
+
+
+def _holes(rows, cols, v, cls) -> None:
+    v[(rows * 7 + cols * 3) % 5 == 0] = float("nan")
+
+
+def holed_pixels(spark: SparkSession, sf: str) -> blocks.Raster:
+    """The dense raster with holes, by its pixels with points, which are written as filling reads them more than once."""
+    dem = dem_pixels(spark, sf)
+    return replace(dem, pixels=written(dem.pixels, "pixels"), edit=_holes)
+
+
 def holed(spark: SparkSession, sf: str) -> DataFrame:
     """The dense raster with holes; class 7 stands for water."""
     hole = (F.col("row") * 7 + F.col("col") * 3) % 5 == 0
