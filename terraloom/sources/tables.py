@@ -13,6 +13,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[int, str] = {}
+#: For file: paths; other stores don't look at it. Hadoop's usual local file system writes a checksum file beside each file
+#: and, without its native library, starts a `chmod` process for either and for each task's folder. The raw one spares
+#: the checksum file and its process. It is not to be cached, as the cache knows a file system by its scheme alone.
+RAW_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: In place of those files the checksums that Parquet keeps with its pages are verified, whatever the store.
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 #: Tables written while a collector is open, so that whoever opened it can delete them.
 _collectors: list[list[DataFrame]] = []
 
@@ -47,10 +53,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/terraloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**RAW_LOCAL, **{"parquet.page.write-checksum.enabled": "true"}).parquet(path)
     target, system = _path(spark, path)
     system.deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).options(**VERIFIED).parquet(path)
     out._terraloom_path = path
     for tables in _collectors:
         tables.append(out)
